@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_decontaminate": decontaminate.op10}
+    return {
+        "op9_minhash": minhash.op9,
+        "op10_decontaminate": decontaminate.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
