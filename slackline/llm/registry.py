@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash
+from . import bpe, decontaminate, minhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_toxicity": toxicity.op3,
         "op6_token_counts": bpe.op6,
         "op9_minhash": minhash.op9,
         "op10_decontaminate": decontaminate.op10,
