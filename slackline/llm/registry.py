@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, toxicity
+from . import bpe, decontaminate, minhash, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_toxicity": toxicity.op3,
         "op6_token_counts": bpe.op6,
+        "op8_secrets": secrets.op8,
         "op9_minhash": minhash.op9,
         "op10_decontaminate": decontaminate.op10,
     }
