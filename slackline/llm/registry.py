@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, secrets, toxicity
+from . import bpe, decontaminate, minhash, secrets, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_toxicity": toxicity.op3,
+        "op5_suffix_dedup": suffixes.op5,
         "op6_token_counts": bpe.op6,
         "op8_secrets": secrets.op8,
         "op9_minhash": minhash.op9,
