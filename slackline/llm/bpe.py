@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from . import textblocks as tb
-from .tables import table
+from .tables import table, texts_of
 
 LIMIT = 2048
 CACHE_ENTRIES = 1_000_000
@@ -200,7 +200,7 @@ def counter(path: str):
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for the vocabulary file (a path on every executor)."""
-    counts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(counter(vocabulary), "doc_id long, n_bytes long, n_tokens long")
+    counts = texts_of(docs).mapInArrow(counter(vocabulary), "doc_id long, n_bytes long, n_tokens long")
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .tables import table, texts_of
 
 WINDOW = 10
 SHARD_SYMBOLS = 4_000_000
@@ -295,7 +296,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     With several benchmark blocks, the passes read the same partitions in the same order; a document's
     rows meet by partition and place in it, and their spans are merged."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = texts_of(docs)
     parts = [docs.mapInArrow(scan(compile_phrases(block, window)), SPANS) for block in item_blocks(benchmark, block_bytes)]
     if not parts:
         parts = [docs.mapInArrow(scan(compile_phrases([], window)), SPANS)]
@@ -335,6 +336,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tables import table
-
     return digest(removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

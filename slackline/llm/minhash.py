@@ -8,9 +8,10 @@ probability (1 - 0.75**3)**32 < 3e-8. Candidates are confirmed on full shingle s
 
 Equal sets collapse to one representative before banding. A bucket then proposes only
 links to its smallest member, so its cost is linear; members that are still in different
-components after those links were confirmed are compared with each other in later rounds,
-without the pairs that were compared before. Buckets are never gathered in one task: their
-smallest member comes from a partial aggregation, and the joins back can be split.
+components after those links were confirmed are compared with each other in blocks of
+bounded size, so every pair of a bucket is connected or compared. Buckets are never gathered
+in one task: their smallest member comes from a partial aggregation, and the joins back can
+be split.
 
 Edge cases: null or empty text and text of white space only have no shingles and link
 with nothing; one to four words are one shingle; rows with equal doc_id are one node;
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
-from .tables import Scratch, table
+from .tables import Scratch, table, texts_of
 
 WORDS = 5
 PERMUTATIONS = 48
 ROWS = 3
 BANDS = 2 * PERMUTATIONS // ROWS
 SIMILAR = (75, 100)
+#: Rows of a block of members or strays, see residual_blocks().
+BLOCK = 512
 
 _RNG = np.random.Generator(np.random.PCG64(75))
 SCALE = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,49 +125,124 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b); only the texts of their documents are shingled again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").mapInArrow(full_sets, "doc_id long, shingles binary")
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
+def links_across(key: np.ndarray, node: np.ndarray, label: np.ndarray, stray: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between strays and members of other labels in one block of a bucket; one for each pair of labels suffices."""
+    size = np.array([len(x) for x in sets])
+    member = np.flatnonzero(~stray)
+    member = member[np.argsort(size[member], kind="stable")]
+    if not len(member) or not stray.any():
+        return []
+    flat = np.concatenate([sets[k] for k in member])
+    start = np.concatenate([[0], np.cumsum(size[member])])
+    names, dense = np.unique(flat, return_inverse=True)
+    marked = np.zeros(len(names) + 1, bool)
+    out, joined = [], set()
+    for k in np.flatnonzero(stray).tolist():
+        n = int(size[k])
+        low = int(np.searchsorted(size[member], -(-SIMILAR[0] * n // SIMILAR[1])))
+        high = int(np.searchsorted(size[member], SIMILAR[1] * n // SIMILAR[0], side="right"))
+        others = np.flatnonzero(label[member[low:high]] != label[k]) + low
+        if not len(others):
+            continue
+        at = np.minimum(np.searchsorted(names, sets[k]), len(names) - 1)
+        own = at[names[at] == sets[k]]
+        marked[own] = True
+        common = np.add.reduceat(marked[dense[start[low] : start[high]]], start[low:high] - start[low], dtype=np.int64)[others - low]
+        marked[own] = False
+        good = others[SIMILAR[1] * common >= SIMILAR[0] * (size[member[others]] + n - common)]
+        for m in member[good].tolist():
+            pair = (int(min(label[k], label[m])), int(max(label[k], label[m])))
+            if pair not in joined:
+                joined.add(pair)
+                out.append((int(node[k]), int(node[m])))
+    return out
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, node, label, stray, shingles), sorted by the first three -> links."""
+
+    def handle(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        band, i, j, node, label = (rows[c].to_numpy() for c in ("band", "i", "j", "node", "label"))
+        stray = rows["stray"].to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"].combine_chunks()]
+        edge = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        found = []
+        for x, y in zip([0, *edge.tolist()], [*edge.tolist(), len(band)], strict=True):
+            found += links_across(band[x:y], node[x:y], label[x:y], stray[x:y], sets[x:y])
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy() for k in range(3)]
+        last = int(np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], 0)]))[-1])
+        fresh = held and any(held[-1].column(k)[-1].as_py() != key[k][0] for k in range(3))
+        if held and (last or fresh):
+            # all groups before the batch's last one are whole now
+            yield handle(pa.Table.from_batches(held + ([batch.slice(0, last)] if last else [])))
+            held = [batch.slice(last)]
+        elif last:
+            yield handle(pa.Table.from_batches([batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield handle(pa.Table.from_batches(held))
+
+
+def residual_blocks(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (band, node, label) of buckets with several labels, dealt to blocks (band, i, j).
+
+    Strays are the members outside a bucket's commonest label. Every pair of members with
+    different labels has a stray, so blocks of strays j meet blocks of members i; a block
+    holds about BLOCK rows of each, whatever the size of the bucket.
+    """
+    by_label = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("band").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top")).filter("top.n < members")
+    blocks = mixed.select(
+        "band",
+        F.col("top.label").alias("main"),
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("member_blocks"),
+        F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int").alias("stray_blocks"),
+    )
+    rows = placed.join(scratch.save(blocks, "mixed"), "band").withColumn("h", F.xxhash64("node"))
+    every = rows.select("band", F.expr("cast(pmod(h, member_blocks) as int)").alias("i"), F.explode(F.expr("sequence(0, stray_blocks - 1)")).alias("j"), "node", "label", F.lit(False).alias("stray"))
+    strays = rows.filter("label <> main").select("band", F.explode(F.expr("sequence(0, member_blocks - 1)")).alias("i"), F.expr("cast(pmod(h, stray_blocks) as int)").alias("j"), "node", "label", F.lit(True).alias("stray"))
+    return every.unionByName(strays)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    sketches = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    texts = texts_of(docs)
+    sketches = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     known = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n"), F.count("*").alias("members")), "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("band"))
     buckets = scratch.save(banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).filter("members > 1").select("band", F.col("least.node").alias("pivot"), F.col("least.n").alias("pivot_n")), "buckets")
-    similar_size = f"{SIMILAR[1]} * least(n, other_n) >= {SIMILAR[0]} * greatest(n, other_n)"
-    stars = banded.join(buckets, "band").withColumnRenamed("pivot_n", "other_n").filter(f"node <> pivot and {similar_size}").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = [scratch.save(stars, "pairs0")]
-    # rows with equal doc_id but other texts are one node: their classes have one id
-    links = scratch.save(confirmed(docs, tried[0]), "links0")
+    members = scratch.save(banded.join(buckets, "band"), "members")
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = scratch.save(texts.join(ids, "doc_id", "left_semi").mapInArrow(full_sets, "doc_id long, shingles binary"), "sets")
+
+    # 1. every member against the smallest member of its buckets
+    similar_size = f"{SIMILAR[1]} * least(n, pivot_n) >= {SIMILAR[0]} * greatest(n, pivot_n)"
+    stars = members.filter(f"node <> pivot and {similar_size}").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = stars.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    links = scratch.save(both.mapInArrow(confirm, "a long, b long"), "links0")
     labels = components(links, scratch, "labels0")
-    members = scratch.save(banded.join(buckets, "band", "left_semi"), "members")
-    for turn in range(1, 100):
-        # buckets whose members are in several components: compare across components, not within
-        placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = scratch.save(placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band"), f"mixed{turn}")
-        open_rows = placed.join(mixed, "band").select("band", "node", "n", "label").distinct()
-        other = open_rows.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-        pairs = open_rows.join(other, "band").filter(f"node > other and label <> other_label and {similar_size}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        for seen in tried:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        if pairs.isEmpty():
-            break
-        tried.append(pairs)
-        more = scratch.save(confirmed(docs, pairs), f"links{turn}")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        labels = components(links, scratch, f"labels{turn}")
+
+    # 2. within a bucket, across the components of step 1
+    placed = scratch.save(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "placed")
+    blocks = residual_blocks(placed, scratch).join(sets.withColumnRenamed("doc_id", "node"), "node")
+    dealt = blocks.select("band", "i", "j", "node", "label", "stray", "shingles").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = scratch.save(dealt.mapInArrow(across, "a long, b long"), "links1")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), scratch, "labels1")
+
     of_class = classes.filter("members > 1").select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("of_class"))
     own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("own"))
     component = F.when(F.col("n_shingles") > 0, F.least(F.coalesce("of_class", "doc_id"), F.coalesce("own", "doc_id"))).otherwise(F.col("doc_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .tables import table
+from .tables import table, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -200,7 +200,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secrets(docs: DataFrame) -> DataFrame:
     """One row a document: counts by kind, the digest of its base spans, and all spans."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
+    return texts_of(docs).mapInArrow(scan, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .tables import Scratch, table
+from .tables import Scratch, table, texts_of
 
 LENGTH = 50
 GRAM = 16
@@ -443,7 +443,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     n = docs.count()
     buckets, shards = prime_from(n // DOCS_A_BUCKET + 1), prime_from(n // DOCS_A_SHARD + 1)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = texts_of(docs)
     by_bucket = texts.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(tb.NULL_ID)), F.lit(buckets)).cast("long"))
 
     pairs = texts.mapInArrow(anchors(shards, buckets), PAIRS).repartition(tasks, "part").sortWithinPartitions("part")

@@ -6,12 +6,23 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of an Arrow batch for Python; whole rows, so a longer text is a batch of its own.
+BATCH_BYTES = 4 * 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id and text for an Arrow function, in batches of bounded size."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a folder of its own only where that is unset, as in tests."""
     sc = spark.sparkContext

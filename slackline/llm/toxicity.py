@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .tables import Scratch, table
+from .tables import Scratch, table, texts_of
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -102,7 +102,7 @@ def add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def language_model(docs: DataFrame) -> np.ndarray:
     """Log P(symbol | three before it) over the whole corpus, smoothed by shorter contexts."""
     schema = "cells int, salt int, counts binary"
-    some = docs.select(F.col("text").cast("string")).mapInArrow(count_cells, schema).repartition(RANGES, "cells", "salt").mapInArrow(add_cells, schema)
+    some = texts_of(docs).select("text").mapInArrow(count_cells, schema).repartition(RANGES, "cells", "salt").mapInArrow(add_cells, schema)
     rows = some.repartition(RANGES, "cells").mapInArrow(add_cells, schema).collect()  # RANGES rows of fixed size
     counts = np.zeros((RANGES, CELLS // RANGES))
     for row in rows:
@@ -300,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, log_p, sample: int = SAMPLE) -> Mo
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)").filter(fold() != 0)
     rows = scratch.save(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample), "sample")
     # at most ``sample`` small rows: a fixed bound, whatever the corpus
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    picked = texts_of(docs).join(F.broadcast(rows), "doc_id").select("text", "toxic")
     picked = scratch.save(picked, "picked")
     counted = picked.mapInArrow(count_features(log_p), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     total = picked.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: Model, log_p) -> DataFrame:
             z = model.bias + np.bincount(at, model.weights[place], len(block.starts))
             yield pa.RecordBatch.from_arrays([tb.column(block.rows, "doc_id"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
