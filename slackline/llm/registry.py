@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, secrets, suffixes, toxicity
+from . import bpe, decontaminate, minhash, mixing, secrets, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mix_sources": mixing.op1,
         "op3_toxicity": toxicity.op3,
         "op5_suffix_dedup": suffixes.op5,
         "op6_token_counts": bpe.op6,
