@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, mixing, secrets, suffixes, toxicity
+from . import bpe, decontaminate, minhash, mixing, secrets, suffixes, toxicity, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": mixing.op1,
         "op3_toxicity": toxicity.op3,
+        "op4_training_order": training_order.op4,
         "op5_suffix_dedup": suffixes.op5,
         "op6_token_counts": bpe.op6,
         "op8_secrets": secrets.op8,
