@@ -294,8 +294,13 @@ def shared(buckets: int):
     return run
 
 
-SEGMENTS = "kind int, part long, bucket long, docs binary, idx binary, starts binary, ends binary, body binary"
-SEGMENT_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int64()), ("docs", pa.binary()), ("idx", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("body", pa.binary())])
+SEGMENTS = "kind int, part long, bucket long, n long, payload binary"
+SEGMENT_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Not compressed: shuffles and tables compress many payloads together better than each alone."""
+    return b"".join(a.tobytes() for a in arrays)
 
 
 def bucket_block(rows: pa.Table) -> tuple[tb.Block, np.ndarray, np.ndarray]:
@@ -341,25 +346,28 @@ def segments(shards: int):
             where = start - block.starts[d]
             if len(known):
                 k, a, b = tb.merge_spans(d[known], where[known], where[known] + end[known] - start[known])
-                out.append((1, bucket, bucket, b"", k.tobytes(), a.tobytes(), b.tobytes(), b""))
+                out.append((1, bucket, bucket, len(k), packed(k.astype(np.int32), a.astype(np.int32), b.astype(np.int32))))
             keep = np.sort(keep)
             for part, at in grouped((h[keep] % np.uint64(shards)).astype(np.int64), keep):
-                body = gather(block.data, start[at], end[at]).tobytes()
-                out.append((0, part, bucket, ids[d[at]].tobytes(), d[at].tobytes(), where[at].tobytes(), (where[at] + end[at] - start[at]).tobytes(), body))
+                small = (x.astype(np.int32) for x in (d[at], where[at], where[at] + end[at] - start[at]))
+                out.append((0, part, bucket, len(at), packed(ids[d[at]], *small, gather(block.data, start[at], end[at]))))
         return pa.Table.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(SEGMENT_SCHEMA)], schema=SEGMENT_SCHEMA)
 
     return run
 
 
-SPANS = "bucket long, idx binary, starts binary, ends binary"
+SPANS = "bucket long, n long, payload binary"
 
 
 def repeats_of_shard(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Spans (bucket, document's place, start, end) of a shard's strings that a smaller doc_id holds too."""
-    doc, idx, start, end = (joined_column(rows, c, np.int64) for c in ("docs", "idx", "starts", "ends"))
-    counts = [len(x) // 8 for x in rows["docs"].to_pylist()]
+    counts = rows["n"].to_numpy()
     bucket = np.repeat(rows["bucket"].to_numpy(), counts)
-    body = joined_column(rows, "body", np.uint8)
+    payloads = rows["payload"].to_pylist()
+    doc = np.concatenate([np.frombuffer(p, np.int64, n) for p, n in zip(payloads, counts.tolist(), strict=True)])
+    idx, start, end = (np.concatenate([np.frombuffer(p, np.int32, n, (8 + 4 * k) * n) for p, n in zip(payloads, counts.tolist(), strict=True)]).astype(np.int64) for k in range(3))
+    body = np.concatenate([np.frombuffer(p, np.uint8, -1, 20 * n) for p, n in zip(payloads, counts.tolist(), strict=True)])
+    del payloads
     size = end - start
     offset = np.cumsum(size) - size
     state = tb.prefix_hash(body)
@@ -407,8 +415,8 @@ def shard_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out = []
         for bucket, idx, start, end in repeats_of_shard(rows):
             k, a, b = tb.merge_spans(idx, start, end)
-            out.append((bucket, k.tobytes(), a.tobytes(), b.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "idx", "starts", "ends"])
+            out.append((bucket, len(k), packed(k.astype(np.int32), a.astype(np.int32), b.astype(np.int32))))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "n", "payload"])
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -421,7 +429,8 @@ def cut(left: pa.Table, right: pa.Table) -> pa.Table:
     block, _, ids = bucket_block(left)
     key = start = end = np.zeros(0, np.int64)
     if right.num_rows:
-        key, start, end = tb.merge_spans(*(joined_column(right, c, np.int64) for c in ("idx", "starts", "ends")))
+        spans = [np.frombuffer(p, np.int32).reshape(3, -1) for p in right["payload"].to_pylist()]
+        key, start, end = tb.merge_spans(*np.concatenate(spans, 1).astype(np.int64))
     edge = np.searchsorted(key, np.arange(len(ids) + 1))
     digests, removed = [], np.zeros(len(ids), np.int64)
     np.add.at(removed, key, end - start)
@@ -456,7 +465,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     dealt = found.filter("kind = 0").repartition(tasks, "part").sortWithinPartitions("part")
     spans = scratch.save(dealt.mapInArrow(shard_repeats, SPANS), "spans")
     del dealt
-    known = scratch.save(found.filter("kind = 1").select("bucket", "idx", "starts", "ends"), "known")
+    known = scratch.save(found.filter("kind = 1").select("bucket", "n", "payload"), "known")
     del found
     scratch.drop("segments")
     return by_bucket.groupBy("bucket").cogroup(spans.unionByName(known).groupBy("bucket")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")

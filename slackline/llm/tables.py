@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slackline.shipping import ship
+
 #: Bytes of an Arrow batch for Python; whole rows, so a longer text is a batch of its own.
 BATCH_BYTES = 4 * 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text for an Arrow function, in batches of bounded size."""
     spark = docs.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -30,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not known:
         known = "file://" + tempfile.mkdtemp(prefix="slackline-")
         sc.setCheckpointDir(known)
+    if known.startswith("/"):
+        known = f"file://{known}"
+    elif known.startswith("file:/") and not known.startswith("file://"):
+        known = f"file://{known[5:]}"
     return known.rstrip("/")
 
 
@@ -37,6 +47,7 @@ class Scratch:
     """Tables written to the shared folder: they outlive executors and cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -54,4 +65,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
-        jvm.System.gc()
+        for _ in range(2):  # Spark removes a shuffle's files once nothing refers to it
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(0.3)
