@@ -35,7 +35,7 @@ from .tables import Scratch, table, texts_of
 LENGTH = 50
 GRAM = 16
 CHUNK_BYTES = 8_000_000
-DOCS_A_BUCKET = 500
+DOCS_A_BUCKET = 200
 DOCS_A_SHARD = 500
 #: Not a byte of UTF-8 text.
 SEPARATOR = 255
