@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""How plans are built: derived inputs, iteration with durable state."""
