@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from slackline.operators.schedule import gathered
+from slackline.operators.schedule import gathered, let
 from slackline.plans.iterate import cut
 
 KEY = ["network_id", "activity_id"]
@@ -57,7 +57,7 @@ def levels(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
     """network_id, activity_id, seq, level: edges of the longest chain from a source; cyclic networks are left out."""
     rows = gathered(activities, dependencies).filter("acyclic")
     level = "aggregate(sequence(1, size(a)), cast(array() as array<int>), (lv, i) -> array_append(lv, coalesce(array_max(transform(filter(e, x -> x.t = i), x -> lv[x.s - 1])) + 1, 0)))"
-    flat = rows.withColumn("lv", F.expr(level)).select("network_id", F.explode(F.arrays_zip("a", "lv")).alias("z"))
+    flat = rows.withColumn("lv", F.expr(let(level, "a", "e"))).select("network_id", F.explode(F.arrays_zip("a", "lv")).alias("z"))
     return flat.select("network_id", F.col("z.a.activity_id"), F.col("z.a.seq"), F.col("z.lv").alias("level"))
 
 

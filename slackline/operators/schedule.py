@@ -22,6 +22,13 @@ from slackline.plans.iterate import cut
 FOLD_LIMIT = 256
 TOLERANCE = 1e-9
 
+def let(expression: str, *names: str) -> str:
+    """The expression with columns bound once; the optimiser would else copy their definitions into its inner loops."""
+    for n in names:
+        expression = f"transform(array({n}), {n} -> {expression})[0]"
+    return expression
+
+
 _ORDER = """aggregate(sequence(1, size(a)), array_repeat(0, size(a)),
     (lv, r) -> transform(lv, (v, i) -> greatest(v, coalesce(array_max(transform(filter(e, x -> x.t = i + 1), x -> lv[x.s - 1] + 1)), 0))))"""
 _EDGES = """filter(transform(d, x -> named_struct('s', cast(array_position(ids, x.source) as int), 't', cast(array_position(ids, x.target) as int))), x -> x.s > 0 and x.t > 0)"""
@@ -33,14 +40,14 @@ def gathered(activities: DataFrame, dependencies: DataFrame, carry: tuple[str, .
     deps = dependencies.groupBy("network_id").agg(F.collect_set(F.struct("source", "target")).alias("d"))
     empty = F.expr("cast(array() as array<struct<source:string,target:string>>)")
     rows = acts.join(deps, "network_id", "left").withColumn("d", F.coalesce("d", empty))
-    rows = rows.withColumn("ids", F.expr("a.activity_id")).withColumn("e", F.expr(_EDGES))
+    rows = rows.withColumn("ids", F.expr("a.activity_id")).withColumn("e", F.expr(let(_EDGES, "ids", "d")))
     # places already rise along every edge in most networks; else sort by level, and a level of n means a cycle
-    rows = rows.withColumn("level", F.when(F.expr("forall(e, x -> x.s < x.t)"), F.lit(None)).otherwise(F.expr(_ORDER)))
+    rows = rows.withColumn("level", F.when(F.expr("forall(e, x -> x.s < x.t)"), F.lit(None)).otherwise(F.expr(let(_ORDER, "a", "e"))))
     rows = rows.withColumn("acyclic", F.expr("level is null or array_max(level) < size(a)"))
     fields = ", ".join(f"'{c}', x.v.{c}" for c in ("seq", "activity_id", "duration", *carry))
     sorted_a = F.expr(f"transform(array_sort(transform(a, (v, i) -> named_struct('level', level[i], 'i', i, 'v', v))), x -> named_struct({fields}))")
     rows = rows.withColumn("a", F.when(F.col("level").isNull(), F.col("a")).otherwise(sorted_a)).withColumn("ids", F.expr("a.activity_id"))
-    return rows.withColumn("e", F.when(F.col("level").isNull(), F.col("e")).otherwise(F.expr(_EDGES))).select("network_id", "a", "e", "acyclic")
+    return rows.withColumn("e", F.when(F.col("level").isNull(), F.col("e")).otherwise(F.expr(let(_EDGES, "ids", "d")))).select("network_id", "a", "e", "acyclic")
 
 
 FORWARD = """aggregate(sequence(1, size(a)), cast(array() as array<double>),
@@ -51,8 +58,8 @@ BACKWARD = """aggregate(sequence(size(a), 1, -1), cast(array() as array<double>)
 
 def fold_arrays(rows: DataFrame) -> DataFrame:
     """gathered() rows with ef, project_duration and ls arrays; cyclic networks are left out."""
-    rows = rows.filter("acyclic").withColumn("ef", F.expr(FORWARD))
-    return rows.withColumn("project_duration", F.coalesce(F.array_max("ef"), F.lit(0.0))).withColumn("ls", F.expr(BACKWARD))
+    rows = rows.filter("acyclic").withColumn("ef", F.expr(let(FORWARD, "a", "e")))
+    return rows.withColumn("project_duration", F.coalesce(F.array_max("ef"), F.lit(0.0))).withColumn("ls", F.expr(let(BACKWARD, "a", "e", "project_duration")))
 
 
 SCHEDULE = ("network_id", "activity_id", "seq", "duration", "early_start", "early_finish", "late_start", "late_finish", "total_float", "free_float", "is_critical", "project_duration")
@@ -60,12 +67,11 @@ SCHEDULE = ("network_id", "activity_id", "seq", "duration", "early_start", "earl
 
 def fold_schedule(activities: DataFrame, dependencies: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     rows = fold_arrays(gathered(activities, dependencies))
-    starts = "transform(ef, (v, i) -> v - a[i].duration)"
     # a start is the largest finish of its predecessors, not finish minus duration, which may round
     starts = "transform(sequence(1, size(a)), i -> coalesce(array_max(transform(filter(e, x -> x.t = i), x -> ef[x.s - 1])), 0D))"
     ends = "transform(sequence(1, size(a)), i -> coalesce(array_min(transform(filter(e, x -> x.s = i), x -> ls[x.t - 1])), project_duration))"
-    rows = rows.withColumn("es", F.expr(starts)).withColumn("lf", F.expr(ends))
-    rows = rows.withColumn("next", F.expr("transform(sequence(1, size(a)), i -> array_min(transform(filter(e, x -> x.s = i), x -> es[x.t - 1])))"))
+    rows = rows.withColumn("es", F.expr(let(starts, "a", "e", "ef"))).withColumn("lf", F.expr(let(ends, "a", "e", "ls", "project_duration")))
+    rows = rows.withColumn("next", F.expr(let("transform(sequence(1, size(a)), i -> array_min(transform(filter(e, x -> x.s = i), x -> es[x.t - 1])))", "a", "e", "es")))
     flat = rows.select("network_id", "project_duration", F.explode(F.arrays_zip("a", "es", "ef", "ls", "lf", "next")).alias("z"))
     flat = flat.select(
         "network_id", F.col("z.a.activity_id"), F.col("z.a.seq"), F.col("z.a.duration"),
@@ -158,17 +164,18 @@ def critical_paths(activities: DataFrame, dependencies: DataFrame, full_length:
     it all walks stay, as three-point schedules take them. Ranked by length, then ids. Networks with more walks than max_paths
     are reported by count only (path null): they are counted by a fold before any walk is built."""
     rows = fold_arrays(gathered(activities, dependencies))
-    rows = rows.withColumn("es", F.expr("transform(sequence(1, size(a)), i -> coalesce(array_max(transform(filter(e, x -> x.t = i), x -> ef[x.s - 1])), 0D))"))
-    rows = rows.withColumn("critical", F.expr(f"filter(sequence(1, size(a)), i -> abs(ls[i - 1] - es[i - 1]) < {tolerance!r}D)"))
-    rows = rows.withColumn("ce", F.expr("filter(e, x -> array_contains(critical, x.s) and array_contains(critical, x.t))"))
+    rows = rows.withColumn("es", F.expr(let("transform(sequence(1, size(a)), i -> coalesce(array_max(transform(filter(e, x -> x.t = i), x -> ef[x.s - 1])), 0D))", "a", "e", "ef")))
+    rows = rows.withColumn("critical", F.expr(let(f"filter(sequence(1, size(a)), i -> abs(ls[i - 1] - es[i - 1]) < {tolerance!r}D)", "a", "ls", "es")))
+    rows = rows.withColumn("ce", F.expr(let("filter(e, x -> array_contains(critical, x.s) and array_contains(critical, x.t))", "critical")))
     count = """aggregate(critical, map_from_arrays(array(0), array(0D)), (m, v) -> map_concat(m, map(v, greatest(1D,
         aggregate(filter(ce, x -> x.t = v), 0D, (n, x) -> n + m[x.s])))))"""
-    rows = rows.withColumn("walks", F.expr(f"aggregate(filter(critical, v -> not exists(ce, x -> x.s = v)), 0D, (n, v) -> n + {count}[v])"))
+    rows = rows.withColumn("counts", F.expr(let(count, "critical", "ce")))
+    rows = rows.withColumn("walks", F.expr(let(f"aggregate(filter(critical, v -> not exists(ce, x -> x.s = v)), 0D, (n, v) -> n + counts[v])", "counts", "critical", "ce")))
     # walks of each vertex are its predecessors' walks, longer by itself: a fold along the topological order
     walk = f"""aggregate(critical, cast(array() as array<struct<v:int, p:array<int>>>), (all, v) -> concat(all,
         if(exists(ce, x -> x.t = v), flatten(transform(filter(ce, x -> x.t = v), x -> transform(filter(all, w -> w.v = x.s), w -> named_struct('v', v, 'p', array_append(w.p, v))))),
            array(named_struct('v', v, 'p', array(v))))))"""
-    rows = rows.withColumn("paths", F.when(F.col("walks") <= max_paths, F.expr(f"filter({walk}, w -> not exists(ce, x -> x.s = w.v))")))
+    rows = rows.withColumn("paths", F.when(F.col("walks") <= max_paths, F.expr(let(f"filter({walk}, w -> not exists(ce, x -> x.s = w.v))", "critical", "ce"))))
     flat = rows.select("network_id", "project_duration", "walks", "a", F.explode_outer("paths").alias("w"))
     flat = flat.select(
         "network_id", "project_duration", "walks",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from slackline.operators import graph
-from slackline.operators.schedule import gathered
+from slackline.operators.schedule import gathered, let
 
 
 def issue(rows: DataFrame, code: str, element: Column | str = "") -> DataFrame:
@@ -36,7 +36,7 @@ def component_counts(activities: DataFrame, dependencies: DataFrame) -> DataFram
     rows = gathered(activities.dropDuplicates(["network_id", "activity_id"]), dependencies)
     label = """aggregate(sequence(1, size(a)), sequence(1, size(a)), (c, r) -> transform(c, (v, i) ->
         least(v, coalesce(array_min(transform(filter(e, x -> x.s = i + 1 or x.t = i + 1), x -> least(c[x.s - 1], c[x.t - 1]))), v))))"""
-    return rows.select("network_id", F.size(F.array_distinct(F.expr(label))).alias("component_count"), "acyclic")
+    return rows.select("network_id", F.size(F.array_distinct(F.expr(let(label, "a", "e")))).alias("component_count"), "acyclic")
 
 
 def graph_issues(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
