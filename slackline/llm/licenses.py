@@ -83,7 +83,9 @@ def banded_alignment(template: np.ndarray, words: np.ndarray, diagonal: int, ban
     """Best local alignment near words[i + diagonal] ~ template[i]: matched words, first and last word + 1 of the region."""
     m, width = len(template), 2 * band + 1
     ramp = np.arange(width)
-    best, at = 0, (0, 0)
+    # of equal scores the one nearest the diagonal asked for
+    aside = np.abs(ramp - band)
+    best, at = width, (0, 0)
     score = np.zeros((m + 1, width), np.int32)
     move = np.zeros((m + 1, width), np.int8)
     for i in range(1, m + 1):
@@ -97,9 +99,10 @@ def banded_alignment(template: np.ndarray, words: np.ndarray, diagonal: int, ban
         fill = np.maximum.accumulate(row + ramp) - ramp  # words without partner
         score[i] = np.where(inside, fill, 0)
         move[i] = np.select([score[i] == 0, score[i] == slope, score[i] == skip], [0, 1, 2], 3)
-        k = int(score[i].argmax())
-        if score[i, k] > best:
-            best, at = int(score[i, k]), (i, k)
+        value = score[i] * (width + 1) - aside
+        k = int(value.argmax())
+        if value[k] > best:
+            best, at = int(value[k]), (i, k)
     i, k = at
     matched, end = 0, i + diagonal - band + k
     start = end

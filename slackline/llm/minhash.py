@@ -245,9 +245,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     of_class = classes.filter("members > 1").select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("of_class"))
     own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("own"))
-    component = F.when(F.col("n_shingles") > 0, F.least(F.coalesce("of_class", "doc_id"), F.coalesce("own", "doc_id"))).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.least(F.coalesce("of_class", "doc_id"), F.coalesce("own", "doc_id"))).otherwise(F.col("doc_id"))
     return (
-        sketches.drop("bands")
+        sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
         .join(of_class, "set_key", "left")
         .join(own, "doc_id", "left")
         .select("doc_id", "n_shingles", component.alias("component_id"))

@@ -13,7 +13,7 @@ ranked in many tasks. The mix is as long as needed for every row to stand in it:
 below their weight repeat in further epochs, none is cut.
 
 Edge cases: a null source is a source of its own; rows with equal doc_id (or null) are ordered by the
-hash of all columns; an empty table gives no rows; a single source keeps its rows once;
+hash of all columns; columns of any name pass through; an empty table gives no rows; a single source keeps its rows once;
 sources without a stated weight are left out only when the caller's weights name them 0.
 """
 
@@ -54,7 +54,7 @@ def smoothed_weights(sizes: DataFrame, power: float = POWER) -> DataFrame:
 
 def schedule(weights: DataFrame) -> DataFrame:
     """(source, parts) with parts adding up to PERIOD -> (slot, source, k): the k-th block of source stands at slot."""
-    sources = weights.filter("parts > 0").agg(F.array_sort(F.collect_list(F.struct("parts", F.col("source").isNotNull().alias("known"), "source"))).alias("s"))
+    sources = weights.filter("parts > 0").agg(F.array_sort(F.collect_list(F.struct("parts", F.col("source").isNotNull().alias("known"), "source"))).alias("s")).filter(F.size("s") > 0)
     # state: next block of each source, the picks so far; earliest deadline first among released blocks
     folded = sources.selectExpr(
         "s",
@@ -81,19 +81,21 @@ def ranked(docs: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
     counts = placed.groupBy("source", "range").agg(F.count("*").alias("size"))
     before = counts.select("source", "range", (F.sum("size").over(W.partitionBy("source").orderBy("range")) - F.col("size")).alias("before"))
     before = scratch.save(before, "ranges").withColumnsRenamed({"source": "of", "range": "at"})
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    tie = F.xxhash64(*others) if others else F.lit(0)
-    inside = F.row_number().over(W.partitionBy("source", "range").orderBy("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), tie)) - 1
+    by_id = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    inside = F.row_number().over(W.partitionBy("source", "range").orderBy("hash", by_id, F.xxhash64("row"))) - 1
     numbered = placed.withColumn("inside", inside)
     return numbered.join(before, numbered["source"].eqNullSafe(before["of"]) & (F.col("range") == F.col("at"))).withColumn("rank", F.col("inside") + F.col("before")).drop("hash", "range", "inside", "of", "at", "before")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = POWER, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with position (place in the mix), block, slot of the block, epoch and parts.
+    """docs with position (place in the mix), block, epoch and parts, which replace columns of docs with these names.
 
     weights: (source, parts) with parts adding up to PERIOD; by default smoothed row counts. Rows are
     repeated until every row of every source with parts stands in the mix."""
     scratch = Scratch(docs.sparkSession, "mixing")
+    own = ("position", "block", "epoch", "parts")
+    columns = [c for c in docs.columns if c not in own]
+    docs = docs.select("doc_id", "source", F.struct(*columns).alias("row"))
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         sizes = smoothed_weights(counts, power)
@@ -110,7 +112,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = POWER,
     length = last.agg(F.max(F.expr(f"floor((ceil(z.n / {block_rows}) - 1) / z.parts) * {PERIOD} + p.slot") + 1).alias("length"))
     length = scratch.save(length.crossJoin(periods), "length").first()  # one row
     if length is None or length.length is None:
-        return docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("position", "long"), ("block", "long"), ("epoch", "long"), ("parts", "int")))).limit(0)
+        return docs.select("row.*", *(F.lit(None).cast("int" if c == "parts" else "long").alias(c) for c in own)).limit(0)
     total, periods = int(length.length), int(length.periods)
     rows = ranked(docs, sizes, scratch).withColumn("own", (F.floor(F.col("rank") / block_rows)).cast("long")).withColumn("blocks", blocks.cast("long"))
     # occurrences of the block within the periods, then those before the end of the mix
@@ -120,12 +122,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = POWER,
     slots = plan.select(F.col("source").alias("of"), F.col("k").alias("at"), "slot")
     placed = uses.join(slots, uses["source"].eqNullSafe(slots["of"]) & (F.col("k") == F.col("at"))).drop("of", "at")
     placed = placed.withColumn("position", (F.col("period") * PERIOD + F.col("slot")).cast("long")).filter(F.col("position") < total)
-    return placed.select(*docs.columns, "position", "block", "epoch", "parts")
+    return placed.select("row.*", *own)
 
 
 def remixed(docs: DataFrame) -> DataFrame:
     """The documents at their target weights, repeated where the mix repeats them, with their columns."""
-    return mix(docs).select(*docs.columns)
+    inner = docs.select("doc_id", "source", F.struct(*docs.columns).alias("whole"))
+    return mix(inner).select("whole.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

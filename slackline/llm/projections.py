@@ -7,7 +7,7 @@ Of 16 projections such a pair collides on at least ``COUNT`` (calibrated for a m
 1e-4); pairs that reach the count are verified by cosine in double precision.
 
 Equal vectors collapse to one. The rest is sorted by a further, leading projection into blocks
-of bounded size, and a block meets only the blocks within the leading window (4.5 deviations); a block pair
+of bounded size, and a vector meets only those within the leading window (4.5 deviations); a block pair
 counts its collisions, adds up links by vector and joins its links to trees, so tasks return rows in
 proportion to their vectors, whatever the number of links.
 
@@ -37,7 +37,10 @@ DEVIATION = math.sqrt(2 - 2 * COSINE)
 WINDOW = 1.9 * DEVIATION
 LEADING = 4.5 * DEVIATION
 BLOCK = 4096
-QUERIES = 256
+QUERIES = 64
+COLUMNS = 2048
+#: Projections are compared in whole steps of 1 / STEPS.
+STEPS = 2048
 
 
 def calibrated_count(trials: int = PROJECTIONS, miss: float = MISS) -> int:
@@ -85,30 +88,42 @@ def directions_cache(length: int) -> np.ndarray:
     return _DIRECTIONS[length]
 
 
-def colliding(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def collisions(left: np.ndarray, right: np.ndarray, lead_left: np.ndarray, lead_right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row of left, row of right) that collide on COUNT projections at least, for blocks of queries.
 
-    left, right: projections, one row a vector."""
-    order = np.argsort(right, axis=0, kind="stable")
-    for a in range(0, len(left), QUERIES):
-        queries = left[a : a + QUERIES]
-        counts = np.zeros((len(queries), len(right)), np.uint8)
-        for k in range(right.shape[1]):
-            values = right[order[:, k], k]
-            low, high = np.searchsorted(values, queries[:, k] - WINDOW), np.searchsorted(values, queries[:, k] + WINDOW, side="right")
-            # only the part of the sorted projection that any window of these queries reaches
-            lo, hi = int(low.min()), int(high.max())
-            place = np.arange(lo, hi)
-            counts[:, order[lo:hi, k]] += (place >= low[:, None]) & (place < high[:, None])
-        q, r = np.nonzero(counts >= COUNT)
-        yield q + a, r
+    left, right: projections in whole steps, one row a projection; their columns are sorted by the leading one. The leading
+    window bounds the columns that a query meets; there its other windows are compared value by value,
+    which costs less than walking every projection's own sorted order."""
+    low = np.searchsorted(lead_right, lead_left - LEADING)
+    high = np.searchsorted(lead_right, lead_left + LEADING, side="right")
+    reach = np.int16(np.ceil(WINDOW * STEPS) + 1)
+    for a in range(0, left.shape[1], QUERIES):
+        b = min(a + QUERIES, left.shape[1])
+        first = max(int(low[a]), a + 1) if same else int(low[a])
+        for c in range(first, int(high[b - 1]), COLUMNS):
+            block = right[:, c : min(c + COLUMNS, int(high[b - 1]))]
+            counts = np.zeros((b - a, block.shape[1]), np.uint8)
+            apart = np.empty(counts.shape, np.int16)
+            for k in range(len(left)):
+                np.subtract(left[k, a:b, None], block[k], out=apart)
+                apart += reach
+                counts += (apart.view(np.uint16) <= 2 * int(reach)).view(np.uint8)
+            q, r = np.nonzero(counts >= COUNT)
+            yield q + a, r + c
+
+
+def in_steps(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Projections of unit vectors in steps of 1 / STEPS, clipped far outside where any lie; windows have a step to spare."""
+    return np.ascontiguousarray(np.clip(np.rint((x @ d).T * STEPS), -16000, 16000).astype(np.int16))
 
 
 def links_of_pair(node_a: np.ndarray, n_a: np.ndarray, x: np.ndarray, node_b: np.ndarray, n_b: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, links, label) for the linked vectors of a block pair."""
-    d = directions_cache(x.shape[1])[:, 1:]
+    d = directions_cache(x.shape[1])
+    order_a, order_b = np.argsort(x @ d[:, 0], kind="stable"), np.argsort(y @ d[:, 0], kind="stable")
+    node_a, n_a, x, node_b, n_b, y = node_a[order_a], n_a[order_a], x[order_a], node_b[order_b], n_b[order_b], y[order_b]
     found = []
-    for q, r in colliding(x @ d, y @ d):
+    for q, r in collisions(in_steps(x, d[:, 1:]), in_steps(y, d[:, 1:]), x @ d[:, 0], y @ d[:, 0], same):
         if same:
             q, r = q[q < r], r[q < r]
         for s in range(0, len(q), 100_000):
