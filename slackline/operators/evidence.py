@@ -141,3 +141,23 @@ def first_abnormal_stage(m: DataFrame) -> DataFrame:
 def bottlenecks(classified: DataFrame) -> DataFrame:
     """Failure classes by how many diagrams they explain first, most first."""
     return classified.groupBy("failure_class").agg(F.count("*").alias("image_count")).orderBy(F.desc("image_count"), "failure_class")
+
+
+def ambiguities(rows: DataFrame) -> DataFrame:
+    """activities (network_id, activity, activity_id, has_text) -> kind: duplicate_label, no_text, inferred_id."""
+    n = F.count("*").over(W.partitionBy("network_id", "activity_id"))
+    kinds = F.array(F.when(F.col("n") > 1, "duplicate_label"), F.when(~F.col("has_text"), "no_text"), F.when(F.col("activity_id").startswith("INFERRED_"), "inferred_id"))
+    return rows.withColumn("n", n).withColumn("kind", F.explode(F.filter(kinds, lambda k: k.isNotNull()))).drop("n")
+
+
+def reconstruction_issues(rows: DataFrame) -> DataFrame:
+    """activities (network_id, activity_id, duration, confidence) -> network_id, code, severity, element."""
+    twice = rows.groupBy("network_id", "activity_id").agg(F.count("*").alias("n")).filter("n > 1")
+    part = lambda r, code, severity: r.select("network_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("activity_id").alias("element"))
+    return part(twice, "duplicate_activity_id", "ERROR").unionByName(part(rows.filter("duration <= 0"), "missing_duration", "WARNING")).unionByName(part(rows.filter("confidence < 0.3"), "low_confidence", "INFO"))
+
+
+def review_issues(rows: DataFrame) -> DataFrame:
+    """Rows that need a look, with the reasons in order."""
+    reasons = F.array(F.when(F.col("confidence") < 0.5, "low_confidence"), F.when(~F.col("has_text"), "no_text"), F.when(F.col("duration") <= 0, "no_duration"))
+    return rows.withColumn("issues", F.filter(reasons, lambda r: r.isNotNull())).filter(F.size("issues") > 0)

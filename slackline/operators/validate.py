@@ -130,3 +130,31 @@ def pert_status(activities: DataFrame) -> DataFrame:
     kinds = pert_issues(activities).groupBy("network_id").agg(F.max(F.col("code") != "missing_pert_estimate").alias("bad"))
     status = F.when(~F.col("some"), "NO_PERT_DATA").when(F.col("bad"), "PERT_INVALID").when(F.col("bad").isNotNull(), "PERT_REVIEW_REQUIRED").otherwise("PERT_READY")
     return some.join(kinds, "network_id", "left").select("network_id", status.alias("status"))
+
+
+def topology_issues(activities: DataFrame, dependencies: DataFrame, longest: float = 50.0) -> DataFrame:
+    """network_id, code, severity, element of reconstructed networks: errors for broken edges and ids, warnings for weak evidence."""
+    dummy = F.coalesce(F.col("is_dummy"), F.lit(False)) if "is_dummy" in activities.columns else F.lit(False)
+    blank = (F.coalesce("duration", F.lit(0.0)) <= 0) & ~dummy
+    twice = activities.groupBy("network_id", "activity_id").agg(F.count("*").alias("n")).filter("n > 1")
+    ends = graph.ends(activities, graph.known_edges(activities, dependencies)).groupBy("network_id").agg(F.max("is_source").alias("has_source"), F.max("is_sink").alias("has_sink"))
+    shape = component_counts(activities, dependencies)
+    structure = graph_issues(activities, dependencies).filter("code in ('isolated_activity', 'disconnected_components')")
+    parts = {
+        "ERROR": [
+            issue(dependencies.filter("source = target"), "self_loop", F.col("source")),
+            issue(unknown_ends(activities, dependencies, "source"), "invalid_edge", F.col("source")),
+            issue(unknown_ends(activities, dependencies, "target"), "invalid_edge", F.col("target")),
+            issue(twice, "duplicate_id", F.col("activity_id")),
+            issue(shape.filter("not acyclic"), "cycle"),
+        ],
+        "WARNING": [
+            structure,
+            issue(activities.filter(blank), "missing_duration", F.col("activity_id")),
+            issue(activities.filter(blank | (F.col("duration") > longest)), "suspicious_duration", F.col("activity_id")),
+            issue(activities.filter("activity_id like 'INFERRED!_%' escape '!'"), "suspicious_id", F.col("activity_id")),
+            issue(ends.filter("not has_source"), "no_sources"),
+            issue(ends.filter("not has_sink"), "no_sinks"),
+        ],
+    }
+    return union([union(rows).withColumn("severity", F.lit(severity)) for severity, rows in parts.items()])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slackline import queries_networks, queries_records, queries_spatial
+from slackline import queries_networks, queries_pairing, queries_records, queries_spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (queries_networks, queries_spatial, queries_records)
+MODULES = (queries_networks, queries_spatial, queries_pairing, queries_records)
 
 
 def queries() -> dict[str, Query]:
