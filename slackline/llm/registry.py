@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, minhash, mixing, projections, secrets, suffixes, toxicity, training_order
+from . import bpe, decontaminate, licenses, minhash, mixing, oracles, projections, secrets, suffixes, toxicity, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": oracles.MIX, "op7_embedding_dedup": oracles.VECTORS, "op9_minhash": oracles.NEAR, "op10_decontaminate": oracles.LEAKS}
