@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from slackline.functions import geometry as g
-from slackline.operators import evidence, graph, pairing, spatial, validate
+from slackline.operators import direction, evidence, graph, pairing, spatial, validate
 from slackline.plans import derived
 from slackline.plans.derived_sql import BOXES, DIRTY, NETWORKS, REGIONS, SEGMENTS
 from slackline.queries_networks import dirty
@@ -46,6 +46,26 @@ def resolved_pairs(spark, d):
     return pairing.resolved_pairs(derived.diagram_segments(spark, d), derived.diagram_boxes(spark, d))
 
 
+@query("ev07_resolved_directions")
+def directions(spark, d):
+    """Both orientations of each resolved pair, the better one with margin and verdict. Tested against plain Python."""
+    seg, boxes = direction.in_geometric_order(derived.diagram_segments(spark, d)), derived.diagram_boxes(spark, d)
+    return direction.resolved_directions(pairing.resolved_pairs(seg, boxes), seg, boxes)
+
+
+@query("ev08_direction_evidence")
+def direction_evidence(spark, d):
+    """The independent evidence of both orientations. Tested against plain Python."""
+    seg, boxes = direction.in_geometric_order(derived.diagram_segments(spark, d)), derived.diagram_boxes(spark, d)
+    return direction.orientations(pairing.resolved_pairs(seg, boxes), seg, boxes).select("network_id", "segment_id", "source", "target", "independent")
+
+
+@query("ev09_validated_dependencies")
+def validated(spark, d):
+    """Pairs and directions combined to accepted, reviewed and rejected dependencies. Tested against plain Python."""
+    return direction.validated_dependencies(derived.diagram_segments(spark, d), derived.diagram_boxes(spark, d))
+
+
 CROSS = []
 for along, start, step, other, other_step, lo, hi in (("b.x", "s.x1", "(s.x2 - s.x1)", "s.y1", "(s.y2 - s.y1)", "b.y", "b.y + b.height"), ("b.x + b.width", "s.x1", "(s.x2 - s.x1)", "s.y1", "(s.y2 - s.y1)", "b.y", "b.y + b.height"), ("b.y", "s.y1", "(s.y2 - s.y1)", "s.x1", "(s.x2 - s.x1)", "b.x", "b.x + b.width"), ("b.y + b.height", "s.y1", "(s.y2 - s.y1)", "s.x1", "(s.x2 - s.x1)", "b.x", "b.x + b.width")):
     t = f"((({along}) - {start}) / nullif({step}, 0))"
