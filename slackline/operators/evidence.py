@@ -161,3 +161,37 @@ def review_issues(rows: DataFrame) -> DataFrame:
     """Rows that need a look, with the reasons in order."""
     reasons = F.array(F.when(F.col("confidence") < 0.5, "low_confidence"), F.when(~F.col("has_text"), "no_text"), F.when(F.col("duration") <= 0, "no_duration"))
     return rows.withColumn("issues", F.filter(reasons, lambda r: r.isNotNull())).filter(F.size("issues") > 0)
+
+
+# Characters that recognition takes for one another.
+CONFUSABLE = {"C": "GOQ", "G": "C6", "O": "QD0", "Q": "OD", "I": "L1l", "L": "I1", "S": "58", "Z": "2", "B": "8", "D": "O0", "U": "V", "V": "UY", "M": "N", "N": "M"}
+
+
+def topology_candidates(rows: DataFrame) -> DataFrame:
+    """rows (network_id, node_id, raw, confidence, alternatives) -> candidate ids with base scores: raw 0.5, alternatives 0.8 of theirs, confusions 0.3, letters next to it 0.2; the first of equal ids counts."""
+    known = F.create_map(*[F.lit(x) for k, v in CONFUSABLE.items() for x in (k, v)])
+    one = lambda c, base, rank: F.struct(F.lit(rank).alias("rank"), c.alias("id"), base.alias("base"))
+    raw = F.col("raw")
+    confused = F.filter(F.split(F.coalesce(known[F.upper(raw)], F.lit("")), ""), lambda c: c != "")
+    step = lambda k: F.when(raw.rlike("^[A-Za-z]$"), F.char(F.ascii(F.upper(raw)) + k))
+    groups = F.concat(
+        F.array(one(raw, F.lit(0.5), 0)),
+        F.transform("alternatives", lambda a: one(a["id"], a["confidence"] * 0.8, 1)),
+        F.transform(confused, lambda c: one(c, F.lit(0.3), 2)),
+        F.transform(F.filter(F.array(step(-1), step(1)), lambda c: c.rlike("^[A-Z]$")), lambda c: one(c, F.lit(0.2), 3)),
+    )
+    flat = rows.filter("raw is not null").select("network_id", "node_id", "raw", "confidence", F.posexplode(groups).alias("place", "c")).select("network_id", "node_id", "raw", "confidence", "place", "c.*")
+    first = F.row_number().over(W.partitionBy("network_id", "node_id", "id").orderBy("place"))
+    return flat.withColumn("k", first).filter("k = 1").drop("k")
+
+
+def topology_corrections(rows: DataFrame, degrees: DataFrame) -> DataFrame:
+    """The id that graph structure supports for each node, where another than the raw one scores 0.6 or more.
+
+    degrees (network_id, activity_id, in_degree, out_degree): connected ids gain 0.2, isolated ones lose 0.1, single letters that are no activity lose 0.3."""
+    d = degrees.select("network_id", F.col("activity_id").alias("id"), (F.col("in_degree") + F.col("out_degree")).alias("edges"))
+    c = topology_candidates(rows).join(d, ["network_id", "id"], "left").filter((F.col("rank") < 2) | F.col("edges").isNotNull())
+    known = F.col("edges").isNotNull()
+    score = F.col("base") + F.when(known & (F.col("edges") > 0), 0.2).when(known, -0.1).otherwise(0.0) + F.col("confidence") * 0.1 - F.when(~known & (F.length("id") == 1), 0.3).otherwise(0.0)
+    best = c.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 9)).withColumn("k", F.row_number().over(W.partitionBy("network_id", "node_id").orderBy(F.desc("score"), "place"))).filter("k = 1")
+    return best.filter((F.col("score") >= 0.6) & (F.col("id") != F.col("raw"))).select("network_id", "node_id", "raw", F.col("id").alias("corrected_id"), "score")

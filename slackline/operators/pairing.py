@@ -168,3 +168,29 @@ def suppress_texts(regions: DataFrame, least_iou: float = 0.5) -> DataFrame:
     iou = f"{both} / greatest(k.width * k.height + r.width * r.height - {both}, 1D)"
     kept = f"aggregate(all, filter(all, x -> false), (kept, r) -> if(exists(kept, k -> k.text = r.text or (lower(k.text) = lower(r.text) and {iou} > {least_iou})), kept, array_append(kept, r)))"
     return rows.select("network_id", F.explode(F.expr(kept)).alias("r")).select("network_id", "r.region_id", "r.text")
+
+
+def merge_segments(segments: DataFrame, angle: float = 15.0, reach: float = 20.0, cosine: float = 0.85) -> DataFrame:
+    """Collinear pieces joined transitively: network_id, segment_id (of the first piece), ends of the hull along the first piece, confidence, pieces.
+
+    Two pieces join when their angles (0 to 360) differ by at most ``angle``, ends lie within ``reach`` and the absolute cosine is at least ``cosine``.
+    Candidate pairs meet by grid cells of their ends."""
+    from slackline.operators import graph
+
+    s = segments.withColumn("angle", F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(360.0)))
+    ends = s.select("network_id", "segment_id", "angle", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e"))
+    ends = ends.select("network_id", "segment_id", "angle", "e.*").withColumn("width", F.lit(0.0)).withColumn("height", F.lit(0.0))
+    close = spatial.near_pairs(ends, ends, "x", "y", reach, ["segment_id"]).filter("segment_id < b_segment_id")
+    turn = F.abs(F.col("angle") - F.col("b_angle"))
+    turn = F.when(turn > 180, 360 - turn).otherwise(turn)
+    links = close.filter((turn <= angle) & (F.abs(F.cos(F.radians(F.col("angle") - F.col("b_angle")))) >= cosine)).select("network_id", F.col("segment_id").alias("source"), F.col("b_segment_id").alias("target")).distinct()
+    groups = graph.components(s.select("network_id", F.col("segment_id").alias("activity_id")), links).withColumnRenamed("activity_id", "segment_id")
+    rows = s.join(groups, SEGMENT)
+    first = rows.groupBy("network_id", "component").agg(F.min(F.struct("seq", "segment_id", "x1", "y1", "x2", "y2")).alias("r"), F.max("confidence").alias("best"), F.count("*").alias("pieces"))
+    ref1, ref2 = g.Point(F.col("r.x1"), F.col("r.y1")), g.Point(F.col("r.x2"), F.col("r.y2"))
+    length, ux, uy = unit(ref1, ref2)
+    points = rows.select("network_id", "component", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).join(first, ["network_id", "component"])
+    along = (F.col("p.x") - ref1.x) * ux + (F.col("p.y") - ref1.y) * uy
+    hull = points.withColumn("along", along).groupBy("network_id", "component").agg(F.min_by("p", "along").alias("a"), F.max_by("p", "along").alias("b"))
+    out = first.join(hull, ["network_id", "component"])
+    return out.select("network_id", F.col("r.segment_id").alias("segment_id"), F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), F.col("best").alias("confidence"), "pieces")

@@ -57,3 +57,28 @@ def merged_edges(automatic: DataFrame, reviewed: DataFrame, key: list[str]) -> D
 
 def summary(items: DataFrame, log: DataFrame) -> DataFrame:
     return statuses(items, log).groupBy("status").agg(F.count("*").alias("items"))
+
+
+def apply(activities: DataFrame, dependencies: DataFrame, id_log: DataFrame, edge_log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Activities, dependencies and issues after review.
+
+    id_log: item_id is network_id:activity_id, corrected_value the new id (text). Rejected activities and their edges go, corrected
+    ids are carried to edge ends. edge_log as in decided_edges(), items network_id:source>target. Two activities that come to one id are an issue
+    (duplicate_activity_id), and so are repeats among reviewed edges (duplicate_edge); unreviewed repeats collapse."""
+    item = F.concat_ws(":", F.col("network_id").cast("string"), "activity_id")
+    fixed = settled(id_log).select("item_id", "status", F.col("corrected_value").alias("new_id"))
+    acts = activities.withColumn("item_id", item).join(fixed, "item_id", "left").filter("coalesce(status, '') <> 'REJECTED'")
+    acts = acts.withColumn("raw_id", F.col("activity_id")).withColumn("activity_id", F.coalesce("new_id", "activity_id")).drop("item_id", "status", "new_id")
+    final = acts.select("network_id", "raw_id", F.col("activity_id").alias("final_id"))
+    edges = dependencies.withColumn("item_id", F.concat(F.col("network_id").cast("string"), F.lit(":"), "source", F.lit(">"), "target"))
+    decided = decided_edges(edges, edge_log).join(edges.select("item_id", "network_id").distinct(), "item_id")
+    for end in ("source", "target"):
+        # an end that no activity holds any more drops its edge
+        decided = decided.join(final.select("network_id", F.col("raw_id").alias(end), F.col("final_id").alias(f"final_{end}")), ["network_id", end])
+    mapped = decided.select("network_id", F.col("final_source").alias("source"), F.col("final_target").alias("target"), "decision")
+    merged = merged_edges(mapped.filter("decision = 'PENDING'"), mapped.filter("decision <> 'PENDING'"), ["network_id", "source", "target"])
+    twice = acts.groupBy("network_id", "activity_id").agg(F.count("*").alias("n")).filter("n > 1")
+    issues = twice.select("network_id", F.lit("duplicate_activity_id").alias("code"), F.col("activity_id").alias("element")).unionByName(
+        merged.filter("is_conflict").select("network_id", F.lit("duplicate_edge").alias("code"), F.concat_ws("->", "source", "target").alias("element"))
+    )
+    return acts.drop("raw_id"), merged.select("network_id", "source", "target"), issues

@@ -158,3 +158,15 @@ def topology_issues(activities: DataFrame, dependencies: DataFrame, longest: flo
         ],
     }
     return union([union(rows).withColumn("severity", F.lit(severity)) for severity, rows in parts.items()])
+
+
+def ground_truth_issues(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Annotation checks: repeated ids, missing durations (a warning), references to no activity."""
+    twice = activities.groupBy("network_id", "activity_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return union(
+        [
+            issue(twice, "duplicate_id", F.col("activity_id")),
+            issue(activities.filter("duration is null"), "missing_duration", F.col("activity_id")),
+            issue(graph.dangling_edges(activities.dropDuplicates(["network_id", "activity_id"]), dependencies), "unknown_reference", F.concat_ws("->", "source", "target")),
+        ]
+    )

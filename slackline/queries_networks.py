@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from slackline.functions import numbers
 from slackline.operators import graph, schedule, validate
 from slackline.plans import derived
+from slackline.plans.iterate import cut
 from slackline.plans.derived_sql import ACTIVITIES, DIRTY, NETWORKS
 
 QUERIES: dict = {}
@@ -28,8 +29,9 @@ def nets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dirty(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The dirty networks, written once: every check reads them."""
     acts, deps = nets(spark, d)
-    return derived.dirty_activities(acts), derived.dirty_dependencies(deps)
+    return cut(derived.dirty_activities(acts)), cut(derived.dirty_dependencies(deps))
 
 
 #: Earliest finishes, project durations and latest starts by path enumeration; needs activities and dependencies.
