@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slackline import queries_more, queries_networks, queries_pairing, queries_records, queries_spatial
+from slackline import queries_association, queries_more, queries_networks, queries_pairing, queries_records, queries_spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (queries_networks, queries_spatial, queries_pairing, queries_records, queries_more)
+MODULES = (queries_networks, queries_spatial, queries_pairing, queries_association, queries_records, queries_more)
 
 
 def queries() -> dict[str, Query]:
