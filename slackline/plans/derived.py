@@ -34,12 +34,12 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dependencies(acts: DataFrame) -> DataFrame:
     """network_id, source, target by the edge rules i -> i+1 (i % 3 <> 0), i -> i+2, i -> i+3 (i even)."""
-    size = acts.groupBy("network_id").agg(F.max("seq").alias("n"))
+    sized = acts.withColumn("n", F.max("seq").over(W.partitionBy("network_id")))
     ahead = F.filter(
         F.array(F.when(F.col("seq") % 3 != 0, F.col("seq") + 1), F.col("seq") + 2, F.when(F.col("seq") % 2 == 0, F.col("seq") + 3)),
         lambda t: t.isNotNull() & (t <= F.col("n")),
     )
-    edges = acts.join(size, "network_id").select("network_id", F.col("activity_id").alias("source"), F.explode(ahead).alias("t"))
+    edges = sized.select("network_id", F.col("activity_id").alias("source"), F.explode(ahead).alias("t"))
     return edges.select("network_id", "source", F.concat(F.lit("N"), F.lpad(F.col("t").cast("string"), 2, "0")).alias("target"))
 
 
