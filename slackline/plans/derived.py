@@ -82,8 +82,8 @@ def diagram_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagram_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """network_id, segment_id, seq, x1, y1, x2, y2, head_conf, confidence, of every other vector."""
-    rows = read(spark, sf_dir, "embeddings").filter("vec_id % 2 = 0")
+    """network_id, segment_id, seq, x1, y1, x2, y2, head_conf, confidence."""
+    rows = read(spark, sf_dir, "embeddings")
     return rows.select(
         F.expr("vec_id div 25").alias("network_id"),
         F.concat(F.lit("S"), F.lpad((F.col("vec_id") % 25).cast("string"), 2, "0")).alias("segment_id"),
@@ -98,8 +98,8 @@ def diagram_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """network_id, region_id, seq, text, x, y, width, height, confidence, of every third vector."""
-    rows = read(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0")
+    """network_id, region_id, seq, text, x, y, width, height, confidence."""
+    rows = read(spark, sf_dir, "embeddings")
     return rows.select(
         F.expr("vec_id div 25").alias("network_id"),
         F.concat(F.lit("T"), F.lpad((F.col("vec_id") % 25).cast("string"), 2, "0")).alias("region_id"),

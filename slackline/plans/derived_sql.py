@@ -35,13 +35,13 @@ SEGMENTS = f"""segments AS (
   SELECT vec_id // 25 AS network_id, 'S' || lpad(CAST(vec_id % 25 AS VARCHAR), 2, '0') AS segment_id, CAST(vec_id % 25 AS INTEGER) AS seq,
          round(500 + 1500 * {_c(6)}, 3) AS x1, round(400 + 1200 * {_c(7)}, 3) AS y1, round(500 + 1500 * {_c(8)}, 3) AS x2, round(400 + 1200 * {_c(9)}, 3) AS y2,
          round(greatest(0.0, 4 * {_c(10)}), 4) AS head_conf, round(0.3 + abs({_c(11)}), 4) AS confidence
-  FROM embeddings WHERE vec_id % 2 = 0)"""
+  FROM embeddings)"""
 REGIONS = f"""regions AS (
   SELECT vec_id // 25 AS network_id, 'T' || lpad(CAST(vec_id % 25 AS VARCHAR), 2, '0') AS region_id, CAST(vec_id % 25 AS INTEGER) AS seq,
          CASE WHEN vec_id % 2 = 0 THEN 'A' || CAST(vec_id % 7 AS VARCHAR) ELSE CAST(vec_id % 11 AS VARCHAR) END AS text,
          round(500 + 1500 * {_c(12)}, 3) AS x, round(400 + 1200 * {_c(13)}, 3) AS y, round(20 + 60 * abs({_c(14)}), 3) AS width, round(10 + 30 * abs({_c(15)}), 3) AS height,
          round(0.3 + abs({_c(16)}), 4) AS confidence
-  FROM embeddings WHERE vec_id % 3 = 0)"""
+  FROM embeddings)"""
 DECISIONS = """decisions AS (
   SELECT event_id AS seq, 'I' || CAST(user_id AS VARCHAR) AS item_id,
          CASE event_id % 5 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'CORRECT' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'LEAVE_UNRESOLVED' ELSE 'COMMENT' END AS decision,

@@ -36,9 +36,9 @@ def parsed_predecessors(spark, d):
     return rows.select("network_id", F.explode(parts).alias("source"), F.col("activity_id").alias("target"))
 
 
-@query("sc05_optional_numbers", f"WITH {LABELS} SELECT region, TRY_CAST(nullif(trim(text), '') AS DOUBLE) AS value FROM labels_in WHERE text NOT LIKE '%٣%' OR text IS NULL")
+@query("sc05_optional_numbers", f"WITH {LABELS} SELECT region, TRY_CAST(nullif(trim(text), '') AS DOUBLE) AS value FROM labels_in")
 def optional_numbers(spark, d):
-    return labels_in(spark, d).filter("text not like '%٣%' or text is null").select("region", F.nullif(F.trim("text"), F.lit("")).try_cast("double").alias("value"))
+    return labels_in(spark, d).select("region", F.nullif(F.trim("text"), F.lit("")).try_cast("double").alias("value"))
 
 
 @query("sc08_json_round_trip", f"WITH {ACTIVITIES} SELECT network_id, activity_id, seq - 1 AS seq, duration, optimistic_time, most_likely_time FROM activities")
@@ -160,10 +160,10 @@ def diagram_confidence(spark, d):
     return u.groupBy("network_id").agg(F.round(F.avg("confidence"), 9).alias("confidence"))
 
 
-@query("pr27_coercions", f"WITH {LABELS} SELECT region, TRY_CAST(text AS BIGINT) AS whole, TRY_CAST(text AS DOUBLE) AS number FROM labels_in WHERE text IS NULL OR (text NOT LIKE '%٣%' AND text NOT LIKE '%.%')")
+@query("pr27_coercions", f"WITH {LABELS} SELECT region, CASE WHEN regexp_full_match(trim(text), '[-+]?\\d+') THEN TRY_CAST(trim(text) AS BIGINT) END AS whole, TRY_CAST(text AS DOUBLE) AS number FROM labels_in")
 def coercions(spark, d):
-    rows = labels_in(spark, d).filter("text is null or (text not like '%٣%' and text not like '%.%')")
-    return rows.select("region", F.col("text").try_cast("bigint").alias("whole"), F.col("text").try_cast("double").alias("number"))
+    whole = F.when(F.trim("text").rlike(r"^[-+]?\d+$"), F.trim("text").try_cast("bigint"))
+    return labels_in(spark, d).select("region", whole.alias("whole"), F.col("text").try_cast("double").alias("number"))
 
 
 @query("pr28_display", f"{CPM} SELECT network_id, activity_id, printf('%.2f', total_float) AS float_text, CASE WHEN is_critical THEN 'Yes' ELSE 'No' END AS critical_text FROM cpm")
