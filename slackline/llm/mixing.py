@@ -110,10 +110,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = POWER,
     # the mix ends after the slot that takes the last first-time block of any source
     last = plan.alias("p").join(sizes.alias("z"), F.expr("p.source <=> z.source and p.k = pmod(ceil(z.n / {0}) - 1, z.parts)".format(block_rows)))
     length = last.agg(F.max(F.expr(f"floor((ceil(z.n / {block_rows}) - 1) / z.parts) * {PERIOD} + p.slot") + 1).alias("length"))
-    length = scratch.save(length.crossJoin(periods), "length").first()  # one row
-    if length is None or length.length is None:
+    total, periods = length.first().length, periods.first().periods
+    if total is None:
         return docs.select("row.*", *(F.lit(None).cast("int" if c == "parts" else "long").alias(c) for c in own)).limit(0)
-    total, periods = int(length.length), int(length.periods)
+    total, periods = int(total), int(periods)
     rows = ranked(docs, sizes, scratch).withColumn("own", (F.floor(F.col("rank") / block_rows)).cast("long")).withColumn("blocks", blocks.cast("long"))
     # occurrences of the block within the periods, then those before the end of the mix
     uses = rows.withColumn("epoch", F.explode(F.expr(f"sequence(0L, cast(floor(({periods}L * parts - 1 - own) / blocks) as long))")))

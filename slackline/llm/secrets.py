@@ -34,10 +34,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["'\]]*\s*(?::=|=>|[:=]|\bis\b)\s*["'`]?([^\s"'`<>,;]{6,256})""", re.ASCII)
+CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["'\]]*\s*(?::=|=>|[:=]|\bis\b)\s*["'`]?([^\s"'`<>,;]{6,})""", re.ASCII)
 NEEDLES = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"bearer", b"key")
 STRONG = 10.0
 SHORTEST_VALUE = 6
+#: Walks and sequences longer than a keyboard has keys go on as further segments.
+LONGEST_RUN = 36
 
 # Words that people put in passwords, commonest first.
 COMMON = (
@@ -93,6 +95,12 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_
         if total < best[j]:
             best[j], came[j] = total, (kind, i, j)
 
+    # how far the value goes on repeating itself with each period
+    reach = [[0] * (n + 9) for _ in range(9)]
+    for period in range(1, 9):
+        row = reach[period]
+        for i in range(n - period - 1, -1, -1):
+            row[i] = row[i + 1] + 1 if value[i] == value[i + period] else 0
     for i in range(n):
         for j in range(i + 2, min(n, i + longest) + 1):
             cost = word_cost(value[i:j], ranks)
@@ -102,22 +110,19 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_
             if DATE.fullmatch(value, i, j):
                 offer("date", i, j, math.log10(366 * 120) if j - i > 4 else math.log10(120))
         for period in range(1, min(8, (n - i) // 2) + 1):
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            times = (j - i) // period
+            times = reach[period][i] // period + 1
             if times >= 2 and times * period >= 3:
                 unit = sum(math.log10(alphabet(c)) for c in value[i : i + period])
-                for t in range(2, times + 1):
+                for t in {times, *(2**k for k in range(1, times.bit_length()))}:  # all of them, or a power of two
                     offer("repeat", i, i + t * period, unit + math.log10(t))
         j = i + 1
-        while j < n and neighbours(low[j - 1], low[j]):
+        while j < min(n, i + LONGEST_RUN) and neighbours(low[j - 1], low[j]):
             j += 1
             if j - i >= 3:
                 offer("walk", i, j, math.log10(len(KEY_AT)) + math.log10(2) + (j - i - 1) * math.log10(1.6))
         for delta in (1, -1):
             j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == delta:
+            while j < min(n, i + LONGEST_RUN) and ord(low[j]) - ord(low[j - 1]) == delta:
                 j += 1
                 if j - i >= 3:
                     offer("sequence", i, j, math.log10(alphabet(low[i])) + math.log10(2 * (j - i)))
