@@ -213,10 +213,11 @@ def residual_blocks(placed: DataFrame, scratch: Scratch) -> DataFrame:
     return every.unionByName(strays)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+
+    The result reads tables of ``scratch``: sketches, classes and labels."""
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     texts = texts_of(docs)
     sketches = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     known = sketches.filter("n_shingles > 0 and doc_id is not null")
@@ -242,6 +243,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = scratch.save(dealt.mapInArrow(across, "a long, b long"), "links1")
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch, "labels1")
+    del banded, buckets, members, sets, stars, first, both, links, placed, blocks, dealt, more
+    scratch.drop("buckets", "members", "sets", "links0", "links1", "placed", "mixed")
 
     of_class = classes.filter("members > 1").select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("of_class"))
     own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("own"))
@@ -257,7 +260,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each component, with their columns."""
-    drop = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    scratch = Scratch(docs.sparkSession, "minhash")
+    drop = scratch.save(near_duplicates(docs, scratch).filter("not kept").select("doc_id").distinct(), "dropped")
+    scratch.drop("sketches", "classes")
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -111,7 +111,7 @@ def tokenise(path: str, pattern: str):
 
 
 def pack(length: int):
-    """Sorted rows (range, doc_id, tokens) -> sequences (range, place, tokens, n_tokens, doc_ids)."""
+    """Sorted rows (range, doc_id, tokens) -> sequences (range, place, tokens, n_tokens, doc_ids); tokens are compressed, for the shuffle to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_part(batches, "range"):
@@ -130,7 +130,7 @@ def pack(length: int):
                     [
                         pa.array(np.full(len(take), part)),
                         pa.array(np.arange(a, a + len(take))),
-                        pa.array([flat[k * length : (k + 1) * length].tobytes() for k in take], pa.binary()),
+                        pa.array([pa.compress(flat[k * length : (k + 1) * length].tobytes(), "zstd", asbytes=True) for k in take], pa.binary()),
                         pa.array(np.minimum(length, ends[-1] - begin[a : a + len(take)])),
                         pa.array([ids[first[k] : last[k] + 1] for k in take], pa.list_(pa.int64())),
                     ],
@@ -167,7 +167,8 @@ def write(folder: str, shard_rows: int, length: int):
             sums = []
             unfinished = f"{root}/_{shard_name(shard)}.{attempt}"
             with store.open_output_stream(unfinished) as out:
-                for t in rows["tokens"].to_pylist():
+                for packed in rows["tokens"].to_pylist():
+                    t = pa.decompress(packed, length * 2, "zstd", asbytes=True)
                     out.write(t)
                     sums.append(zlib.crc32(t))
             store.move(unfinished, f"{root}/{shard_name(shard)}")
