@@ -111,7 +111,7 @@ def tokenise(path: str, pattern: str):
 
 
 def pack(length: int):
-    """Sorted rows (range, doc_id, tokens) -> sequences (range, place, tokens, n_tokens, doc_ids); tokens are compressed, for the shuffle to come."""
+    """Sorted rows (range, doc_id, tokens) -> sequences (range, place, tokens, n_tokens, doc_ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_part(batches, "range"):
@@ -130,7 +130,7 @@ def pack(length: int):
                     [
                         pa.array(np.full(len(take), part)),
                         pa.array(np.arange(a, a + len(take))),
-                        pa.array([pa.compress(flat[k * length : (k + 1) * length].tobytes(), "zstd", asbytes=True) for k in take], pa.binary()),
+                        pa.array([flat[k * length : (k + 1) * length].tobytes() for k in take], pa.binary()),
                         pa.array(np.minimum(length, ends[-1] - begin[a : a + len(take)])),
                         pa.array([ids[first[k] : last[k] + 1] for k in take], pa.list_(pa.int64())),
                     ],
@@ -141,11 +141,13 @@ def pack(length: int):
 
 
 def place(n: int, shard_rows: int, key: int):
+    """Numbered sequences -> their slots and shards; tokens are compressed for the shuffle, while the table before it packs many together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = slots(tb.column(batch, "number").to_numpy(), n, key)
-            columns = [tb.column(batch, c) for c in ("tokens", "n_tokens", "doc_ids")]
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), *columns], ["shard", "slot", "tokens", "n_tokens", "doc_ids"])
+            tokens = pa.array([pa.compress(t, "zstd", asbytes=True) for t in tb.column(batch, "tokens").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), tokens, tb.column(batch, "n_tokens"), tb.column(batch, "doc_ids")], ["shard", "slot", "tokens", "n_tokens", "doc_ids"])
 
     return run
 
