@@ -4,11 +4,12 @@ Every template's word k-grams are winnowed (the smallest hash of each window of
 into an inverted index: fingerprint -> (template, place). A document's k-grams are looked up
 there; each hit's diagonal is a candidate region, which a banded local alignment (match 2, mismatch
 and gap -1) compares with the template. Regions that match at least ``COVERAGE`` of a template's
-words are reported with coverage and byte span; hits inside them need no alignment of their own.
+words are reported with coverage and byte span; hits inside them need no alignment of their own. Of
+templates that claim the same words the one that covers most of them is reported.
 
 Edge cases: null or empty text has no notices; texts of any length are scanned whole; a notice
-that stands several times is reported each time; equal spans of two templates are both
-reported; repeated documents each keep their row; other columns are ignored.
+that stands several times is reported each time; of equal spans the template with the higher coverage, then
+the first name is reported; repeated documents each keep their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from .minhash import PLACE
 from .tables import table, texts_of
 
 GRAM = 4
+#: Templates of fewer words are found by grams of SHORT_GRAM words.
+SHORT, SHORT_GRAM = 4, 2
 WINDOW = 4
 BAND = 24
+STRETCH = 64
 COVERAGE = 0.8
 
 WORD_BYTE = np.zeros(256, bool)
@@ -41,9 +45,9 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, tb.span_hash(tb.prefix_hash(data), starts, ends)
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
+def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
         out += words[k : k + len(out)] * PLACE[k]
     return tb.mix(out)
 
@@ -57,13 +61,18 @@ def winnowed(hashes: np.ndarray) -> list[int]:
     return np.unique(np.arange(len(views)) + least).tolist()
 
 
+def gram_size(n_words: int) -> int:
+    return GRAM if n_words >= SHORT else min(n_words, SHORT_GRAM)
+
+
 class Index:
     def __init__(self, templates: dict[str, str]) -> None:
-        self.names = list(templates)
+        self.names = [name.split("|")[0] for name in templates]
         self.words = [word_hashes(np.frombuffer(f"{t}\n".encode(), np.uint8))[2] for t in templates.values()]
         posting: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.sizes = sorted({gram_size(len(words)) for words in self.words})
         for t, words in enumerate(self.words):
-            hashes = grams(words)
+            hashes = grams(words, gram_size(len(words)))
             for k in winnowed(hashes):
                 posting[int(hashes[k])].append((t, k))
         self.keys = np.array(sorted(posting), np.uint64)
@@ -118,6 +127,17 @@ def banded_alignment(template: np.ndarray, words: np.ndarray, diagonal: int, ban
     return matched, start, end
 
 
+def band_of(n_words: int) -> int:
+    """A short template's band does not reach its next copy."""
+    return max(1, min(BAND, n_words // 2))
+
+
+def reachable(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> bool:
+    """Whether the band holds enough of the template's words for a notice; spares alignments."""
+    near = words[max(0, diagonal - band) : max(0, diagonal + len(template) + band)]
+    return np.isin(near, template).sum() >= COVERAGE * len(template)
+
+
 def notices(index: Index, words: np.ndarray, places: np.ndarray, entries: np.ndarray) -> list[tuple[str, float, int, int]]:
     """(name, coverage, first word, last word + 1) of the notices in one document."""
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -130,13 +150,27 @@ def notices(index: Index, words: np.ndarray, places: np.ndarray, entries: np.nda
         found.sort()
         while found:
             diagonal = found[0][0]
-            matched, first, last = banded_alignment(template, words, diagonal)
+            band = band_of(len(template))
+            matched, first, last = banded_alignment(template, words, diagonal, band) if reachable(template, words, diagonal, band) else (0, 0, 0)
             if matched >= COVERAGE * len(template):
-                out.append((index.names[t], matched / len(template), first, last))
+                out.append((index.names[t], matched / len(template), first, last, matched))
                 found = [h for h in found[1:] if not first <= h[1] < last]
             else:  # nor do its near diagonals: the band held them too
-                found = [h for h in found[1:] if h[0] > diagonal + BAND // 2]
-    return sorted(set(out), key=lambda x: (x[2], x[3], x[0]))
+                found = [h for h in found[1:] if h[0] > diagonal + band // 2]
+    return best_of_overlapping(out)
+
+
+def best_of_overlapping(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int]]:
+    """Of notices that share half of the shorter one's span, the one with most matched words, then the highest coverage."""
+    kept: list[tuple[str, float, int, int]] = []
+    reach: dict[int, list[tuple[int, int]]] = defaultdict(list)  # kept spans by stretches of words
+    for name, coverage, first, last, _ in sorted(set(found), key=lambda x: (-x[4], -x[1], x[2], x[0])):
+        stretches = range(first // STRETCH, (last - 1) // STRETCH + 1)
+        if not any(2 * (min(last, b) - max(first, a)) >= min(last - first, b - a) for s in stretches for a, b in reach[s]):
+            kept.append((name, coverage, first, last))
+            for s in stretches:
+                reach[s].append((first, last))
+    return sorted(kept, key=lambda x: (x[2], x[3], x[0]))
 
 
 MATCHES = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())]))
@@ -147,14 +181,19 @@ def scan(templates: dict[str, str]):
         index = Index(templates)
         for block in tb.blocks(batches):
             starts, ends, words = word_hashes(block.data)
-            places, entries = index.hits(grams(words))
             doc = block.doc_of(starts)
-            whole = doc[places] == doc[np.minimum(places + GRAM - 1, len(words) - 1)] if len(words) else places == -1
-            places, entries = places[whole], entries[whole]
+            found = []
+            for size in index.sizes:
+                places, entries = index.hits(grams(words, size))
+                whole = doc[places] == doc[np.minimum(places + size - 1, len(words) - 1)] if len(words) else places == -1
+                found.append((places[whole], entries[whole]))
+            places, entries = (np.concatenate([f[k] for f in found]) for k in range(2))
+            order = np.argsort(places, kind="stable")
+            places, entries = places[order], entries[order]
             matches: list[list[dict]] = [[] for _ in block.starts]
             for k in np.unique(doc[places]).tolist():
                 a, b = np.searchsorted(doc, [k, k + 1])
-                own = doc[places] == k
+                own = slice(*np.searchsorted(places, [a, b]))
                 for name, coverage, first, last in notices(index, words[a:b], places[own] - a, entries[own]):
                     matches[k].append({"license": name, "coverage": coverage, "start_byte": int(starts[a + first] - block.starts[k]), "end_byte": int(ends[a + last - 1] - block.starts[k])})
             yield pa.RecordBatch.from_arrays([tb.column(block.rows, "doc_id"), pa.array(matches, MATCHES)], ["doc_id", "matches"])

@@ -257,6 +257,19 @@ def test_licenses(spark):
     assert [m.license for m in got[5]] == ["MIT"] and 0.95 < got[5][0].coverage < 1 and got[5][0].start_byte == 10000
 
 
+def test_whole_notices(spark):
+    line = "x y All rights reserved. z"
+    texts = licenses.TEMPLATES
+    rows = [(1, line), (2, "all rights are reserved"), (3, texts["GPL-2.0-or-later|post"]), (4, texts["AGPL-3.0-or-later"]), (5, texts["BSD-3-Clause"]), (6, texts["Apache-2.0"]), (7, "the rights reserved for all"), (8, texts["MIT"] + " end")]
+    rows += [(9, "All rights reserved.\n" * 3), (10, texts["All-rights-reserved"])]
+    got = {r.doc_id: r.matches for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert [(m.license, line[m.start_byte : m.end_byte]) for m in got[1]] == [("All-rights-reserved-line", "All rights reserved")]
+    names = {i: [m.license for m in got[i]] for i in got}
+    assert names[2] == ["All-rights-reserved-line"] and names[3] == ["GPL-2.0-or-later"] and names[4] == ["AGPL-3.0-or-later"]
+    assert names[5] == ["BSD-3-Clause"] and names[6] == ["Apache-2.0"] and names[7] == [] and names[9] == ["All-rights-reserved-line"] * 3
+    assert names[10] == ["All-rights-reserved"] and rows[7][1][: got[8][0].end_byte].endswith("DEALINGS IN THE\n        SOFTWARE")
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
