@@ -1,7 +1,7 @@
-"""License notices in texts: winnowed fingerprints pick candidates, banded alignment measures them.
+"""License notices in texts: word grams pick candidates, banded alignment measures them.
 
-Every template's word k-grams are winnowed (the smallest hash of each window of grams stays)
-into an inverted index: fingerprint -> (template, place). A document's k-grams are looked up
+All of a template's word k-grams go into an inverted index, with k such that a notice that still
+meets the coverage keeps a gram: fingerprint -> (template, place). A document's k-grams are looked up
 there; each hit's diagonal is a candidate region, which a banded local alignment (match 2, mismatch
 and gap -1) compares with the template. Regions that match at least ``COVERAGE`` of a template's
 words are reported with coverage and byte span; hits inside them need no alignment of their own. Of
@@ -14,6 +14,7 @@ the first name is reported; repeated documents each keep their row; other column
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,9 +29,6 @@ from .minhash import PLACE
 from .tables import table, texts_of
 
 GRAM = 4
-#: Templates of fewer words are found by grams of SHORT_GRAM words.
-SHORT, SHORT_GRAM = 4, 2
-WINDOW = 4
 BAND = 24
 STRETCH = 64
 COVERAGE = 0.8
@@ -52,17 +50,10 @@ def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
     return tb.mix(out)
 
 
-def winnowed(hashes: np.ndarray) -> list[int]:
-    """Places of the smallest hash (the last of equals) of each window; of all when there are fewer."""
-    if len(hashes) <= WINDOW:
-        return list(range(len(hashes)))
-    views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    least = WINDOW - 1 - np.argmin(views[:, ::-1], axis=1)
-    return np.unique(np.arange(len(views)) + least).tolist()
-
-
 def gram_size(n_words: int) -> int:
-    return GRAM if n_words >= SHORT else min(n_words, SHORT_GRAM)
+    """Words of the longest run that stays somewhere in a template however its permitted edits (one at least) fall, up to GRAM."""
+    edits = max(1, n_words - math.ceil(COVERAGE * n_words))
+    return max(1, min(GRAM, n_words, -(-(n_words - edits) // (edits + 1))))
 
 
 class Index:
@@ -73,8 +64,8 @@ class Index:
         self.sizes = sorted({gram_size(len(words)) for words in self.words})
         for t, words in enumerate(self.words):
             hashes = grams(words, gram_size(len(words)))
-            for k in winnowed(hashes):
-                posting[int(hashes[k])].append((t, k))
+            for k, h in enumerate(hashes.tolist()):
+                posting[h].append((t, k))
         self.keys = np.array(sorted(posting), np.uint64)
         self.posting = [posting[int(k)] for k in self.keys]
         self.maybe = np.zeros(1 << 16, bool)

@@ -270,6 +270,25 @@ def test_whole_notices(spark):
     assert names[10] == ["All-rights-reserved"] and rows[7][1][: got[8][0].end_byte].endswith("DEALINGS IN THE\n        SOFTWARE")
 
 
+def test_single_word_edits_of_notices(spark):
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES.items():
+        own = re.findall(r"[A-Za-z0-9]+", text)
+        for k in range(len(own)) if len(own) < 20 else range(0, len(own), 11):
+            for edit in ([], ["zzz"], [own[k], "zzz"]):
+                if not edit and len(own) - 1 < licenses.COVERAGE * len(own) or edit == ["zzz"] and len(own) - 1 < licenses.COVERAGE * len(own):
+                    continue
+                i = len(rows)
+                rows.append((i, f"before it {' '.join(own[:k] + edit + own[k + 1 :])} after it"))
+                want[i] = name.split("|")[0]
+    rows += [(len(rows), "Licensed under Apache License, Version 2.0"), (len(rows) + 1, "Released under MIT License")]
+    got = {r.doc_id: [m.license for m in r.matches] for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert got[rows[-2][0]] == ["Apache-2.0-line"] and got[rows[-1][0]] == ["MIT-line"]
+    missed = [(want[i], rows[i][1], got[i]) for i in want if not got[i]]
+    assert not missed
+    assert sum(got[i] == [want[i]] for i in want) > 0.9 * len(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
