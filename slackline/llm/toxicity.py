@@ -41,7 +41,8 @@ SYMBOLS = 28
 CELLS = SYMBOLS**4
 RANGES = 64
 TASKS_A_SUM = 256
-LONGEST_WORD = 32
+#: Tokens up to this length are remembered; longer ones are decoded each time.
+LONGEST_CACHED = 64
 BEAM = 48
 
 # What a writer may put for a letter.
@@ -51,6 +52,10 @@ LEET = {
 }
 #: Log probabilities of the channel: a letter was replaced; a sign is only a sign; a letter was repeated.
 REPLACED, SIGN, REPEATED = math.log(0.3), math.log(0.05), math.log(0.4)
+#: A word ends inside spaced text.
+WORD_END = math.log(0.3)
+#: The text of an arc for any letter.
+ANY = "?"
 
 SYMBOL = np.zeros(256, np.int32)
 SYMBOL[97:123] = np.arange(1, 27)
@@ -64,7 +69,7 @@ SINGLE = LETTER | IS_LEET
 
 _SIGNS = re.escape("".join(LEET))
 TOKEN = re.compile(rf"[a-z\u0080-￿{_SIGNS}]+")
-INNER = re.compile(rf"[{_SIGNS}]+[a-z]")
+INNER = re.compile(rf"[{_SIGNS}][a-z\u0080-￿]|[a-z\u0080-￿][{_SIGNS}]")
 TRIPLE = re.compile(r"([a-z\u0080-￿])\1\1")
 SPACED = re.compile(rf"(?<![a-z0-9\u0080-￿])(?:[a-z\u0080-￿{_SIGNS}][ .\-_*]){{3,}}[a-z\u0080-￿{_SIGNS}](?![a-z0-9\u0080-￿])")
 
@@ -119,53 +124,95 @@ class Decoder:
 
     def __init__(self, log_p: np.ndarray) -> None:
         self.log_p = log_p
-        self.restore = lru_cache(200_000)(self._restore)
+        self.cached = lru_cache(200_000)(self._restore)
+
+    def restore(self, token: str, spaced: bool = False) -> str:
+        return self.cached(token, spaced) if len(token) <= LONGEST_CACHED else self._restore(token, spaced)
 
     @staticmethod
-    def lattice(token: str) -> list[list[tuple[str, float]]]:
-        """For each run of equal characters, the strings it may stand for and their log probability."""
-        out = []
+    def lattice(token: str, spaced: bool = False) -> list[list[tuple[int, str, float]]]:
+        """For each place, the arcs that leave it: their end, the string and its log probability (ANY: any letter).
+
+        A run of equal characters has arcs across it whole (it may stand for one letter) and one for each of
+        its signs, which may stand for different letters; so have the letters of spaced text, where a word may end between them."""
+        out: list[list[tuple[int, str, float]]] = [[] for _ in token]
         for m in re.finditer(r"(.)\1*", token, re.S):
-            char, n = m[1], len(m[0])
+            char, i, j = m[1], m.start(), m.end()
+            n = j - i
             if char in LEET:
                 choices = [(c, REPLACED - math.log(len(LEET[char]))) for c in LEET[char]]
-                arcs = [("", SIGN * min(n, 2))]
-                arcs += [(c, p) for c, p in choices] if n == 1 else [(c * k, p + (REPEATED if k < n else 0)) for c, p in choices for k in (1, 2)]
-            elif n > 2:
-                arcs = [(char, REPEATED), (char * 2, REPEATED)]
-            else:
-                arcs = [(char * n, 0.0)]
-            out.append(arcs)
+                out[i].append((j, "", SIGN * min(n, 2)))
+                out[i] += [(j, c, p) for c, p in choices] if n == 1 else [(j, c * k, p + (REPEATED if k < n else 0)) for c, p in choices for k in (1, 2)]
+                if n > 1:
+                    for k in range(i, j):
+                        out[k] += [(k + 1, ANY, choices[0][1])] if len(choices) == 26 else [(k + 1, c, p) for c, p in choices]
+                continue
+            out[i] += [(j, char, REPEATED), (j, char * 2, REPEATED)] if n > 2 else [(j, char * n, 0.0)]
+            if spaced and n > 1:
+                for k in range(i, j):
+                    out[k].append((k + 1, char, 0.0))
         return out
 
-    def _restore(self, token: str) -> str:
+    def _restore(self, token: str, spaced: bool = False) -> str:
         log_p = self.log_p
-        beam: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-        for arcs in self.lattice(token):
-            fresh: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for state, (score, made) in beam.items():
-                for text, channel in arcs:
-                    (a, b, c), s = state, score + channel
+        # state -> score and the made text as linked pieces
+        beams: list[dict | None] = [{} for _ in range(len(token) + 1)]
+        beams[0] = {(0, 0, 0): (0.0, None)}
+        for place, arcs in enumerate(self.lattice(token, spaced)):
+            beam = beams[place]
+            beams[place] = None
+            if len(beam) > BEAM:
+                beam = dict(sorted(beam.items(), key=lambda x: -x[1][0])[:BEAM])
+            if spaced and place:
+                for (a, b, c), (score, made) in list(beam.items()):
+                    s = score + WORD_END + float(log_p[a, b, c, 0])
+                    if c and s > beam.get((b, c, 0), (-math.inf,))[0]:
+                        beam[b, c, 0] = (s, (made, " "))
+            for end, text, channel in arcs:
+                fresh = beams[end]
+                if text == ANY:
+                    self.any_letter(beam, channel, fresh)
+                    continue
+                for (a, b, c), (score, made) in beam.items():
+                    s = score + channel
                     for char in text:
                         d = ord(char) - 96 if "a" <= char <= "z" else 27
                         s += float(log_p[a, b, c, d])
                         a, b, c = b, c, d
                     if s > fresh.get((a, b, c), (-math.inf,))[0]:
-                        fresh[a, b, c] = (s, made + text)
-            beam = fresh if len(fresh) <= BEAM else dict(sorted(fresh.items(), key=lambda x: -x[1][0])[:BEAM])
-        return max((s + float(log_p[a, b, c, 0]), made) for (a, b, c), (s, made) in beam.items())[1]
+                        fresh[a, b, c] = (s, (made, text))
+        link = max(beams[-1].items(), key=lambda x: x[1][0] + float(log_p[(*x[0], 0)]))[1][1]
+        pieces = []
+        while link is not None:
+            link, text = link
+            pieces.append(text)
+        return "".join(reversed(pieces))
+
+    def any_letter(self, beam: dict, channel: float, fresh: dict) -> None:
+        """The best states after one more letter of any kind."""
+        states = list(beam)
+        a, b, c = np.array(states).reshape(-1, 3).T
+        scores = self.log_p[a, b, c, 1:27] + np.array([beam[x][0] + channel for x in states])[:, None]
+        found = 0
+        for at in np.argsort(-scores, axis=None, kind="stable").tolist():
+            k, d = divmod(at, 26)
+            state, s = (*states[k][1:], d + 1), float(scores[k, d])
+            if s > fresh.get(state, (-math.inf,))[0]:
+                fresh[state] = (s, (beam[states[k]][1], chr(97 + d)))
+                found += 1
+                if found == BEAM:
+                    break
 
     def restored(self, text: str) -> list[str]:
         """The words restored from a lower-case text's obfuscated tokens."""
         out = []
         for m in TOKEN.finditer(text):
             token = m[0]
-            if len(token) <= LONGEST_WORD and (INNER.search(token) or TRIPLE.search(token)) and any(c.isalpha() for c in token):
+            if (INNER.search(token) or TRIPLE.search(token)) and any(c.isalpha() for c in token):
                 out.append(self.restore(token))
         for m in SPACED.finditer(text):
             letters = m[0][::2]
-            if len(letters) <= LONGEST_WORD:
-                out.append(self.restore(letters))
+            out += [self.restore(letters), self.restore(letters, True)]  # as one word, and as several
         return out
 
 
@@ -176,7 +223,7 @@ def suspicious(data: np.ndarray) -> np.ndarray:
         return np.arange(n)
     letter, leet = LETTER[data], IS_LEET[data]
     hit = np.zeros(n, bool)
-    hit[:-1] = leet[:-1] & letter[1:]
+    hit[:-1] = leet[:-1] & letter[1:] | letter[:-1] & leet[1:]
     same = data[1:] == data[:-1]
     hit[:-2] |= same[:-1] & same[1:] & letter[:-2]
     single, gap = SINGLE[data], GAP[data]

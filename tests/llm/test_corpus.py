@@ -207,6 +207,21 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in none)
 
 
+def test_decoder_of_obfuscated_tokens(spark):
+    words_ = ["a", "you", "idiot", "stupid", "trash", "ass", "fork", "the", "house", "green", "walks", "is", "are", "and", "shell", "illegal"]
+    rng = random.Random(2)
+    docs = table(spark, [(i, " ".join(rng.choice(words_) for _ in range(200))) for i in range(50)])
+    decoder = toxicity.Decoder(toxicity.language_model(docs))
+    cases = {"idi07": "idiot", "tr4$#": "trash", "a$$": "ass", "f**k": "fork", "id" + "i" * 40 + "ot": "idiot", "1d10t!": "idiot", "111egal": "illegal", "a s t u p i d": "stupid", "y o u i d i o t": "idiot"}
+    cases |= {" ".join("the house is green and you are a stupid idiot".replace(" ", "")): "stupid", "house" * 12 + "1d10t" + "e" * 40: "idiot"}
+    for text, word in cases.items():
+        made = decoder.restored(text)
+        assert any(word in m.split() for m in made) or len(text) > 60 and any(word in m for m in made), (text, made)
+        padded = np.frombuffer(f"green house {text} walks".encode(), np.uint8)
+        assert len(toxicity.suspicious(padded))
+    assert decoder.restored("the green house walks.") == []
+
+
 def test_training_order(spark, texts, tmp_path):
     import public_tokenizers as P
 
