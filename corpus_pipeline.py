@@ -1,7 +1,7 @@
 """From raw documents to training shards: five stages, each one of the library's corpus operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's docs. All but the last keep the columns of documents.
+read again as the next one's docs. Every row is decided by its own text, whether its id is null or repeated. All but the last keep the columns of documents.
 
 1. toxicity: documents predicted toxic go.
 2. near_duplicates: one document of each near-duplicate component stays, the one with the smallest doc_id.

@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .tables import table, texts_of
+from .tables import Scratch, rows_of, table, texts_of
 
 WINDOW = 10
 SHARD_SYMBOLS = 4_000_000
 SHARD_DOCS = 100_000
+SHARD_BYTES = 64_000_000
 BLOCK_BYTES = 32_000_000
 SAMPLE = 16
 
@@ -277,6 +278,37 @@ def scan(phrases: Phrases):
     return run
 
 
+def clean(phrases: Phrases):
+    """A mapInArrow function from documents to those without a phrase, in shards of at most SHARD_BYTES of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = Shard(phrases), []
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            (bad, _, _), _ = shard.search()
+            stays = np.ones(shard.docs, bool)
+            stays[bad] = False
+            at = 0
+            for rows in held:
+                yield rows.filter(pa.array(stays[at : at + rows.num_rows]))
+                at += rows.num_rows
+            shard.clear()
+            held.clear()
+
+        size = 0
+        for block in tb.blocks(batches):
+            shard.add(block, tb.long_ids(block.rows))
+            held.append(block.rows)
+            size += len(block.data)
+            if shard.size >= SHARD_SYMBOLS or shard.docs >= SHARD_DOCS or size >= SHARD_BYTES:
+                yield from kept()
+                size = 0
+        if held:
+            yield from kept()
+
+    return run
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
     """Benchmark rows in blocks of bounded size; the driver never holds more than one."""
     block: list[tuple[object, str | None]] = []
@@ -329,10 +361,17 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents in which no phrase of the benchmark occurs, with their columns."""
-    bad = digest(removal_spans(docs, benchmark)).filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows in whose own text no phrase of the benchmark occurs, with their columns; null and repeated ids too."""
+    schema, scratch, last = docs.schema, Scratch(docs.sparkSession, "decontaminate"), None
+    for k, block in enumerate(item_blocks(benchmark, block_bytes)):
+        if k:  # one pass at a time
+            docs = scratch.save(docs, f"pass{k}")
+            if last:
+                scratch.drop(last)
+            last = f"pass{k}"
+        docs = rows_of(docs).mapInArrow(clean(compile_phrases(block)), schema)
+    return docs
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import textblocks as tb
 from .components import components
@@ -259,11 +260,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay: one of each component, with their columns."""
+    """The rows that stay: one of each component, the one with the smallest doc_id, with their columns.
+
+    Each row is decided by its own text: rows without an id, and the further texts of a repeated id, go under a key made
+    from id and text that sorts after ids below 2**62."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    drop = scratch.save(near_duplicates(docs, scratch).filter("not kept").select("doc_id").distinct(), "dropped")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).filter("first <> last").select("doc_id", "first")
+    rows = rows.join(scratch.save(several, "several"), "doc_id", "left")
+    made = f"(hash & {2**61 - 1}L) | {2**62}L"
+    rows = rows.withColumn("key", F.expr(f"case when doc_id is null or hash <> first then {made} else doc_id end"))
+    drop = scratch.save(near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), scratch).filter("not kept").select(F.col("doc_id").alias("key")).distinct(), "dropped")
     scratch.drop("sketches", "classes")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    left = rows.join(drop, "key", "left_anti")
+    # rows of one key are equal in id and text: one of them stays, unless there is nothing in them to compare
+    twice = scratch.save(rows.filter("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("twice")), "twice")
+    left = left.join(twice, "key", "left")
+    once = left.filter("twice").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("row")))).filter("n = 1")
+    return left.filter("twice is null").select("row.*").unionByName(once.select("row.*"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """doc_id and text for an Arrow function, in batches of bounded size."""
+def rows_of(docs: DataFrame) -> DataFrame:
+    """Whole rows for an Arrow function, in batches of bounded size."""
     spark = docs.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id and text for an Arrow function, in batches of bounded size."""
+    return rows_of(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .tables import Scratch, table, texts_of
+from .tables import Scratch, rows_of, table, texts_of
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -362,15 +362,19 @@ def train(docs: DataFrame, labels: DataFrame, log_p, sample: int = SAMPLE) -> Mo
     return model
 
 
+def scores(block: tb.Block, decoder: Decoder, model: Model) -> np.ndarray:
+    at, place = chosen(block, decoder, model.names)
+    z = model.bias + np.bincount(at, model.weights[place], len(block.starts))
+    return 1 / (1 + np.exp(-z))
+
+
 def score(docs: DataFrame, model: Model, log_p) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(log_p.value)
         for block in tb.blocks(batches):
-            at, place = chosen(block, decoder, model.names)
-            z = model.bias + np.bincount(at, model.weights[place], len(block.starts))
-            yield pa.RecordBatch.from_arrays([tb.column(block.rows, "doc_id"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([tb.column(block.rows, "doc_id"), pa.array(scores(block, decoder, model))], ["doc_id", "score"])
 
     rows = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -382,9 +386,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns."""
-    bad = toxicity(docs, labels).filter("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose own text is not predicted toxic, with their columns; null and repeated ids too."""
+    log_p = docs.sparkSession.sparkContext.broadcast(language_model(docs))
+    model = train(docs, labels, log_p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(log_p.value)
+        for block in tb.blocks(batches):
+            yield block.rows.filter(pa.array(scores(block, decoder, model) < 0.5))
+
+    return rows_of(docs).mapInArrow(run, docs.schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,6 +222,26 @@ def test_decoder_of_obfuscated_tokens(spark):
     assert decoder.restored("the green house walks.") == []
 
 
+def test_stages_decide_rows_without_own_ids(spark):
+    rng = random.Random(8)
+    phrase, a, b = words(rng, 12, 10**6), words(rng, 80, 5000), words(rng, 80, 5000)
+    bench = spark.createDataFrame([(1, phrase), (2, "zz yy xx")], "item_id long, text string")
+    rows = [(None, f"x {phrase} y"), (None, "clean"), (1, f"x {phrase} y"), (1, "fine"), (2, "fine too"), (None, "has zz yy xx here"), (None, None)]
+    want = [(None, None), (None, "clean"), (1, "fine"), (2, "fine too")]
+    for size in (decontaminate.BLOCK_BYTES, 1):
+        got = decontaminate.decontaminate(table(spark, rows), bench, size).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    rows = [(1, a), (None, a), (None, b), (None, b + " end"), (5, b), (5, words(rng, 50, 9999)), (6, a), (None, ""), (None, "")]
+    got = minhash.deduplicate(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (5, b), rows[5], (None, ""), (None, "")], key=str)
+    got = minhash.deduplicate(table(spark, [(None, a), (None, a), (None, b)])).collect()
+    assert sorted(r.text for r in got) == sorted([a, b])
+    plain = [(i, words(rng, 40, 300) + (" moron" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in plain], "doc_id long, quality int, toxic int")
+    got = {(r.doc_id, r.text) for r in toxicity.drop_toxic(table(spark, plain + [(None, "w1 moron"), (None, "w2 w3"), (1, "moron")]), labels).collect()}
+    assert (None, "w2 w3") in got and plain[1] in got and not any("moron" in t for _, t in got)
+
+
 def test_training_order(spark, texts, tmp_path):
     import public_tokenizers as P
 
