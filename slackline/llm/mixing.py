@@ -1,6 +1,6 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations (beside a heap for more than PERIOD sources).
 
-Target weights are whole parts of PERIOD. A source with p parts releases its k-th block
+Target weights are whole parts of PERIOD, which grows where there are more sources. A source with p parts releases its k-th block
 (k = 0, 1, ...) at slot floor(k * PERIOD / p), due before slot ceil((k + 1) * PERIOD / p); the
 block that is due earliest among the released ones takes the next slot (ties: fewer
 parts, then source name). With parts that add up to PERIOD every window is met, so after any number of
@@ -19,6 +19,10 @@ sources without a stated weight are left out only when the caller's weights name
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -39,21 +43,62 @@ def hash_of_id() -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
+def period_of(sources: F.Column) -> F.Column:
+    """PERIOD, or twice as many slots as sources in whole PERIODs where there are more than PERIOD."""
+    return F.when(sources <= PERIOD, F.lit(PERIOD).cast("long")).otherwise(2 * PERIOD * F.ceil(sources / PERIOD))
+
+
 def smoothed_weights(sizes: DataFrame, power: float = POWER) -> DataFrame:
     """(source, n) -> (source, n, parts): rows ** power in whole parts of PERIOD, by largest remainders; each source has one at least.
 
-    There are as many rows as sources, which must be at most PERIOD."""
+    PERIOD grows in whole steps where there are more sources. There are as many rows as sources."""
     every = W.partitionBy()
     share = F.pow(F.col("n").cast("double"), F.lit(power))
-    rows = sizes.withColumn("share", F.round(share, 6)).withColumn("room", F.lit(PERIOD) - F.count("*").over(every))
+    rows = sizes.withColumn("share", F.round(share, 6)).withColumn("room", period_of(F.count("*").over(every)) - F.count("*").over(every))
     rows = rows.withColumn("exact", F.round(F.col("share") / F.sum("share").over(every) * F.col("room"), 6)).withColumn("whole", F.floor("exact"))
     rank = F.row_number().over(every.orderBy(F.desc(F.round(F.col("exact") - F.col("whole"), 6)), F.col("source").asc_nulls_first()))
     left = F.col("room") - F.sum("whole").over(every)
     return rows.withColumn("rank", rank).withColumn("left", left).select("source", "n", (F.lit(1) + F.col("whole") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("int").alias("parts"))
 
 
-def schedule(weights: DataFrame) -> DataFrame:
-    """(source, parts) with parts adding up to PERIOD -> (slot, source, k): the k-th block of source stands at slot."""
+def long_schedule(period: int):
+    """An Arrow function from (parts, source), in order of ties, to (slot, source): earliest deadline first by a heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, names = [], []
+        for batch in batches:
+            parts += batch.column(0).to_pylist()
+            names += batch.column(1).to_pylist()
+        if not parts:
+            return
+        released, due, taken = [(0, i) for i in range(len(parts))], [], [0] * len(parts)
+        slots, sources = [], []
+        for slot in range(period):
+            while released and released[0][0] <= slot:
+                i = heapq.heappop(released)[1]
+                heapq.heappush(due, (-(-(taken[i] + 1) * period // parts[i]), i))
+            if not due:
+                continue
+            i = heapq.heappop(due)[1]
+            taken[i] += 1
+            if taken[i] < parts[i]:
+                heapq.heappush(released, (taken[i] * period // parts[i], i))
+            slots.append(slot)
+            sources.append(names[i])
+            if len(slots) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(sources, pa.string())], ["slot", "source"])
+                slots, sources = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(sources, pa.string())], ["slot", "source"])
+
+    return run
+
+
+def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(source, parts) with parts adding up to period -> (slot, source, k): the k-th block of source stands at slot."""
+    if period > PERIOD:
+        ordered = weights.filter("parts > 0").select("parts", "source").coalesce(1).sortWithinPartitions("parts", F.col("source").isNotNull(), "source")
+        slots = ordered.mapInArrow(long_schedule(period), "slot int, source string")
+        return slots.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1)
     sources = weights.filter("parts > 0").agg(F.array_sort(F.collect_list(F.struct("parts", F.col("source").isNotNull().alias("known"), "source"))).alias("s")).filter(F.size("s") > 0)
     # state: next block of each source, the picks so far; earliest deadline first among released blocks
     folded = sources.selectExpr(
@@ -103,13 +148,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = POWER,
         w = weights.select(F.col("source").alias("of"), F.col("parts").cast("int").alias("parts"))
         sizes = counts.join(w, counts["source"].eqNullSafe(w["of"])).filter("parts > 0").drop("of")
     sizes = scratch.save(sizes, "sizes")
-    plan = scratch.save(schedule(sizes.select("source", "parts")), "schedule")
+    period = max(PERIOD, int(sizes.agg(F.sum("parts").alias("parts")).first().parts or 0))
+    plan = scratch.save(schedule(sizes.select("source", "parts"), period), "schedule")
     blocks = F.ceil(F.col("n") / block_rows)
     # whole periods in which each source goes through its blocks once at least
     periods = sizes.agg(F.max(F.ceil(blocks / F.col("parts"))).alias("periods"))
     # the mix ends after the slot that takes the last first-time block of any source
     last = plan.alias("p").join(sizes.alias("z"), F.expr("p.source <=> z.source and p.k = pmod(ceil(z.n / {0}) - 1, z.parts)".format(block_rows)))
-    length = last.agg(F.max(F.expr(f"floor((ceil(z.n / {block_rows}) - 1) / z.parts) * {PERIOD} + p.slot") + 1).alias("length"))
+    length = last.agg(F.max(F.expr(f"floor((ceil(z.n / {block_rows}) - 1) / z.parts) * {period} + p.slot") + 1).alias("length"))
     total, periods = length.first().length, periods.first().periods
     if total is None:
         return docs.select("row.*", *(F.lit(None).cast("int" if c == "parts" else "long").alias(c) for c in own)).limit(0)
@@ -121,7 +167,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = POWER,
     uses = uses.withColumn("k", (F.col("block") % F.col("parts")).cast("int")).withColumn("period", F.floor(F.col("block") / F.col("parts")))
     slots = plan.select(F.col("source").alias("of"), F.col("k").alias("at"), "slot")
     placed = uses.join(slots, uses["source"].eqNullSafe(slots["of"]) & (F.col("k") == F.col("at"))).drop("of", "at")
-    placed = placed.withColumn("position", (F.col("period") * PERIOD + F.col("slot")).cast("long")).filter(F.col("position") < total)
+    placed = placed.withColumn("position", (F.col("period") * period + F.col("slot")).cast("long")).filter(F.col("position") < total)
     return placed.select("row.*", *own)
 
 

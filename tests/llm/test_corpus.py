@@ -279,6 +279,21 @@ def test_mixing(spark):
     assert set(two.source.fillna("none")) == {"big", "none"} and two.position.nunique() == len(two)
 
 
+def test_mixing_more_sources_than_slots(spark):
+    docs = table(spark, [(i, "t") for i in range(1300)], {i: f"web{min(i, 1205)}" for i in range(1300)})
+    got = mixing.mix(docs).toPandas().sort_values("position")
+    assert got.position.tolist() == list(range(len(got))) and set(got.doc_id) == set(range(1300))
+    parts = got.groupby("source").parts.first()
+    period = int(parts.sum())
+    assert len(parts) == 1206 and parts.min() >= 1 and period % mixing.PERIOD == 0
+    many = got.source == "web1205"
+    assert np.abs(np.cumsum(many.to_numpy()) - np.arange(1, len(got) + 1) * parts["web1205"] / period).max() < 1
+    weights = spark.createDataFrame([("a", 300), ("b", 330), (None, 333), ("c", 37)], "source string, parts int")
+    few = [(r.slot, r.source, r.k) for r in mixing.schedule(weights).orderBy("slot").collect()]
+    rows = weights.select("parts", "source").coalesce(1).sortWithinPartitions("parts", F.col("source").isNotNull(), "source")
+    assert [x[:2] for x in few] == [tuple(r) for r in rows.mapInArrow(mixing.long_schedule(mixing.PERIOD), "slot int, source string").collect()]
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     rows = [
