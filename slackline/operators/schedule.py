@@ -18,6 +18,8 @@ from pyspark.sql.window import Window as W
 
 from slackline.plans.iterate import cut
 
+#: Walks above which critical paths of a network are built by rounds of joins.
+FOLD_WALKS = 10_000
 #: Vertices above which a network goes to the loop.
 FOLD_LIMIT = 256
 TOLERANCE = 1e-9
@@ -157,12 +159,8 @@ def with_expected_times(activities: DataFrame) -> DataFrame:
     return activities.withColumn("duration", expected_time(o, m, p)).withColumn("variance", variance(o, p))
 
 
-def critical_paths(activities: DataFrame, dependencies: DataFrame, full_length: bool = True, tolerance: float = TOLERANCE, max_paths: int = 10_000) -> DataFrame:
-    """network_id, path_rank, path, path_len, path_duration of all paths of the critical subgraph, from its sources to its sinks.
-
-    full_length keeps those whose durations add up to the project's (an edge between critical vertices may be slack); without
-    it all walks stay, as three-point schedules take them. Ranked by length, then ids. Networks with more walks than max_paths
-    are reported by count only (path null): they are counted by a fold before any walk is built."""
+def critical_walks(activities: DataFrame, dependencies: DataFrame, tolerance: float) -> DataFrame:
+    """fold_arrays() rows with the critical vertices, the edges between them (ce) and the number of walks, none of them built."""
     rows = fold_arrays(gathered(activities, dependencies))
     rows = rows.withColumn("es", F.expr(let("transform(sequence(1, size(a)), i -> coalesce(array_max(transform(filter(e, x -> x.t = i), x -> ef[x.s - 1])), 0D))", "a", "e", "ef")))
     rows = rows.withColumn("critical", F.expr(let(f"filter(sequence(1, size(a)), i -> abs(ls[i - 1] - es[i - 1]) < {tolerance!r}D)", "a", "ls", "es")))
@@ -170,18 +168,64 @@ def critical_paths(activities: DataFrame, dependencies: DataFrame, full_length:
     count = """aggregate(critical, map_from_arrays(array(0), array(0D)), (m, v) -> map_concat(m, map(v, greatest(1D,
         aggregate(filter(ce, x -> x.t = v), 0D, (n, x) -> n + m[x.s])))))"""
     rows = rows.withColumn("counts", F.expr(let(count, "critical", "ce")))
-    rows = rows.withColumn("walks", F.expr(let(f"aggregate(filter(critical, v -> not exists(ce, x -> x.s = v)), 0D, (n, v) -> n + counts[v])", "counts", "critical", "ce")))
+    return rows.withColumn("walks", F.expr(let(f"aggregate(filter(critical, v -> not exists(ce, x -> x.s = v)), 0D, (n, v) -> n + counts[v])", "counts", "critical", "ce")))
+
+
+def critical_edges(activities: DataFrame, dependencies: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """network_id, source, target of the edges on full-length critical paths: both ends critical and no slack between them; no path is built."""
+    times = schedule(activities, dependencies, tolerance).filter("is_critical")
+    ends = [times.select("network_id", F.col("activity_id").alias(end), F.col(time).alias(time)) for end, time in (("source", "early_finish"), ("target", "early_start"))]
+    joined = dependencies.select("network_id", "source", "target").distinct().join(ends[0], ["network_id", "source"]).join(ends[1], ["network_id", "target"])
+    return joined.filter(F.abs(F.col("early_start") - F.col("early_finish")) < tolerance).select("network_id", "source", "target")
+
+
+def loop_walks(activities: DataFrame, dependencies: DataFrame, tolerance: float) -> DataFrame:
+    """network_id, project_duration, walks, path, path_duration of all critical walks, by rounds that extend every open walk with each edge."""
+    vertices = cut(schedule(activities, dependencies, tolerance).filter("is_critical").select("network_id", "activity_id", "duration", "project_duration"))
+    known = vertices.select("network_id", "activity_id")
+    edges = dependencies.select("network_id", "source", "target").distinct().join(known.withColumnRenamed("activity_id", "source"), ["network_id", "source"], "left_semi")
+    edges = cut(edges.join(vertices.select("network_id", F.col("activity_id").alias("target"), F.col("duration").alias("more")), ["network_id", "target"]).select("network_id", F.col("source").alias("at"), "target", "more"))
+    later = edges.select("network_id", F.col("target").alias("activity_id"))
+    state = vertices.join(later, ["network_id", "activity_id"], "left_anti").select("network_id", "project_duration", F.col("activity_id").alias("at"), F.array("activity_id").alias("path"), (F.lit(0.0) + F.col("duration")).alias("path_duration"))
+    found: DataFrame | None = None
+    while True:
+        state = cut(state)
+        done = state.join(edges.select("network_id", "at").distinct(), ["network_id", "at"], "left_anti").select("network_id", "project_duration", "path", "path_duration")
+        found = done if found is None else found.unionByName(done)
+        state = state.join(edges, ["network_id", "at"]).select("network_id", "project_duration", F.col("target").alias("at"), F.array_append("path", F.col("target")).alias("path"), (F.col("path_duration") + F.col("more")).alias("path_duration"))
+        if state.isEmpty():
+            return found.join(found.groupBy("network_id").agg(F.count("*").cast("double").alias("walks")), "network_id").select("network_id", "project_duration", "walks", "path", "path_duration")
+
+
+def critical_paths(activities: DataFrame, dependencies: DataFrame, full_length: bool = True, tolerance: float = TOLERANCE, max_paths: int | None = None, fold_limit: int = FOLD_LIMIT, fold_walks: int = FOLD_WALKS) -> DataFrame:
+    """network_id, path_rank, path, path_len, path_duration of all paths of the critical subgraph, from its sources to its sinks.
+
+    full_length keeps those whose durations add up to the project's (an edge between critical vertices may be slack); without
+    it all walks stay, as three-point schedules take them. Ranked by length, then ids. Networks of more than fold_limit
+    vertices or fold_walks walks go to rounds of joins, in which no network lands in one row. Only where the caller states
+    max_paths, networks with more walks are reported by count (path null) instead."""
+    large = None
+    if max_paths is None:
+        large = activities.groupBy("network_id").count().filter(F.col("count") > fold_limit).select("network_id")
+        counted = critical_walks(activities.join(large, "network_id", "left_anti"), dependencies, tolerance)
+        large = cut(large.unionByName(counted.filter(F.col("walks") > fold_walks).select("network_id")))
+        if large.isEmpty():
+            large = None
+    small = [t if large is None else t.join(large, "network_id", "left_anti") for t in (activities, dependencies)]
+    rows = critical_walks(*small, tolerance)
     # walks of each vertex are its predecessors' walks, longer by itself: a fold along the topological order
     walk = f"""aggregate(critical, cast(array() as array<struct<v:int, p:array<int>>>), (all, v) -> concat(all,
         if(exists(ce, x -> x.t = v), flatten(transform(filter(ce, x -> x.t = v), x -> transform(filter(all, w -> w.v = x.s), w -> named_struct('v', v, 'p', array_append(w.p, v))))),
            array(named_struct('v', v, 'p', array(v))))))"""
-    rows = rows.withColumn("paths", F.when(F.col("walks") <= max_paths, F.expr(let(f"filter({walk}, w -> not exists(ce, x -> x.s = w.v))", "critical", "ce"))))
+    rows = rows.withColumn("paths", F.when(F.col("walks") <= (fold_walks if max_paths is None else max_paths), F.expr(let(f"filter({walk}, w -> not exists(ce, x -> x.s = w.v))", "critical", "ce"))))
     flat = rows.select("network_id", "project_duration", "walks", "a", F.explode_outer("paths").alias("w"))
     flat = flat.select(
         "network_id", "project_duration", "walks",
         F.expr("transform(w.p, i -> a[i - 1].activity_id)").alias("path"),
         F.expr("aggregate(w.p, 0D, (n, i) -> n + a[i - 1].duration)").alias("path_duration"),
     )
+    if large is not None:
+        flat = flat.unionByName(loop_walks(*(t.join(large, "network_id", "left_semi") for t in (activities, dependencies)), tolerance))
     if full_length:
         flat = flat.filter(F.col("path").isNull() | (F.abs(F.col("path_duration") - F.col("project_duration")) < tolerance))
     rank = F.row_number().over(W.partitionBy("network_id").orderBy(F.size("path"), "path"))

@@ -117,7 +117,7 @@ def walks(spark, d):
 
 @query("st08_critical_edges", f"{CPM}, {WALKS}, steps AS (SELECT network_id, path, unnest(range(1, len(path))) AS i FROM whole WHERE abs(total - project_duration) < 1e-9) SELECT DISTINCT network_id, path[i] AS source, path[i + 1] AS target FROM steps")
 def critical_edges(spark, d):
-    return graph.consecutive_pairs(schedule.critical_paths(*nets(spark, d)))
+    return schedule.critical_edges(*nets(spark, d))
 
 
 @query("gr15_critical_path", f"{CPM}, {WALKS}, r AS (SELECT network_id, path, row_number() OVER (PARTITION BY network_id ORDER BY len(path), path) AS k FROM whole WHERE abs(total - project_duration) < 1e-9) SELECT network_id, array_to_string(path, '>') AS path FROM r WHERE k = 1")

@@ -48,6 +48,27 @@ GOLD = "A1 B2 C2 D3 E4 F4 G4 H4 I5 J5 K3 L6 M6 N8 O3 P4 Q3 R2 S1 T2 U1 V1"
 GOLD_EDGES = "A>B A>C B>D C>D D>E D>F D>G D>H E>I F>I G>I H>I I>J J>K K>L K>M L>N M>N N>O N>P O>P P>Q Q>R R>S R>T S>T T>U U>V"
 
 
+def test_critical_paths_have_no_cap(spark):
+    n = 14
+    acts = [("n", f"m{k:02}", 3 * k, 1.0) for k in range(n + 1)] + [("n", f"{s}{k:02}", 3 * k + 1 + (s == "b"), 2.0) for k in range(n) for s in "ab"]
+    deps = [("n", *e) for k in range(n) for s in "ab" for e in ((f"m{k:02}", f"{s}{k:02}"), (f"{s}{k:02}", f"m{k + 1:02}"))]
+    acts, deps = spark.createDataFrame(acts, "network_id string, activity_id string, seq int, duration double"), spark.createDataFrame(deps, "network_id string, source string, target string")
+    paths = schedule.critical_paths(acts, deps)
+    row = paths.agg({"path": "count", "path_rank": "max", "walks": "min"}).first()
+    assert sorted(row) == [2**n, 2**n, 2.0**n]
+    assert {tuple(r) for r in schedule.critical_edges(acts, deps).collect()} == {tuple(r) for r in deps.collect()}
+
+
+@pytest.mark.parametrize("limits", [{"fold_limit": 1}, {"fold_walks": 5}])
+def test_critical_paths_by_rounds(spark, limits):
+    acts, deps = network(spark, GOLD, GOLD_EDGES)
+    for full in (True, False):
+        want = sorted(map(tuple, schedule.critical_paths(acts, deps, full).collect()))
+        assert want == sorted(map(tuple, schedule.critical_paths(acts, deps, full, **limits).collect()))
+    pairs = graph.consecutive_pairs(schedule.critical_paths(acts, deps))
+    assert set(map(tuple, pairs.collect())) == set(map(tuple, schedule.critical_edges(acts, deps).collect()))
+
+
 def test_gold_network(spark):
     acts, deps = network(spark, GOLD, GOLD_EDGES)
     rows = {r.activity_id: r for r in schedule.schedule(acts, deps).collect()}
