@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed and stored in the folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="slackline-"))
+        known = sc.getConf().get("spark.checkpoint.dir")
+        if not known and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="slackline-"))
     return df.checkpoint(eager=True)
