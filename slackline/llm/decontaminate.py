@@ -7,10 +7,14 @@ too short for the shortest phrase are left out. Over what remains an FM-index is
 Phrases are searched backward through wavelet ranks, all at once; their occurrences are
 located by LF steps to the next sampled position and merged to removal spans of words.
 
+Words are looked up by hash and compared byte by byte. The benchmark comes in blocks of about ``block_bytes`` of text, each
+broadcast as arrays of some 20 times that size at most; documents are read once for each block. With several
+blocks their rows are numbered and written first, so that a row's results meet by its number.
+
 Edge cases: null or empty text has no words; an item without words has no phrases; an
-item shorter than a phrase is one phrase; repeated items and repeated documents each
-keep their own result; an empty benchmark contaminates nothing; other columns are ignored.
-Documents are read once for each benchmark block of at most ``block_bytes`` text bytes.
+item shorter than a phrase is one phrase; an item with null item_id is left out; repeated items and repeated documents (null
+ids too) each keep their own result; an empty benchmark contaminates nothing; an empty table gives no rows; very long texts are
+a shard of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ WINDOW = 10
 SHARD_SYMBOLS = 4_000_000
 SHARD_DOCS = 100_000
 SHARD_BYTES = 64_000_000
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000
 SAMPLE = 16
 
 #: Word bytes after lower-casing A-Z: digits, a-z and every byte of a non-ASCII character.
@@ -135,42 +139,68 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """A benchmark block: vocabulary hashes, phrases by length, and the items of each phrase."""
+    """A benchmark block: its words in order of their hashes, distinct phrases by length, and the items of each phrase."""
 
-    vocabulary: np.ndarray
+    hashes: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
     by_length: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
+    #: For each length, where a phrase's items begin, and those items (places in names).
+    items: dict[int, tuple[np.ndarray, np.ndarray]]
+    names: list[str]
     shortest: int
 
-
-def words_of(text: str | None) -> list[bytes]:
-    data = (text or "").encode().lower()
-    mask = WORD_BYTE[np.frombuffer(data, np.uint8)] if data else np.zeros(0, bool)
-    return [data[s:e] for s, e in zip(*(x.tolist() for x in tb.runs(mask)), strict=True)]
+    def symbols(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Symbols (1, 2, ...) of words of lower-case data that are in the vocabulary, 0 for others."""
+        out = np.zeros(len(hashes), np.int64)
+        left = np.arange(len(hashes))
+        place = np.searchsorted(self.hashes, hashes)
+        while len(left):  # once, unless words share a hash
+            ok = (place < len(self.hashes)) & (self.hashes[np.minimum(place, len(self.hashes) - 1)] == hashes[left])
+            left, place = left[ok], place[ok]
+            size = self.sizes[place]
+            same = size == (ends - starts)[left]
+            size = np.where(same, size, 0)
+            differ = tb.gather(self.words, self.starts[place], size) != tb.gather(data, starts[left], size)
+            wrong = np.bincount(np.repeat(np.arange(len(left)), size), differ, len(left)) > 0
+            same &= ~wrong
+            out[left[same]] = place[same] + 1
+            left, place = left[~same], place[~same] + 1
+        return out
 
 
 def compile_phrases(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
     """items: (item_id, text) rows, in blocks whose size the caller bounds."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        if item is None or not words:
-            continue
-        width = min(window, len(words))
-        for k in range(len(words) - width + 1):
-            found.setdefault(tuple(words[k : k + width]), set()).add(str(item))
-    distinct = sorted({w for phrase in found for w in phrase})
-    flat = np.frombuffer(b"\n".join(distinct) + b"\n", np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in distinct]) - 1 if distinct else np.zeros(0, np.int64)
-    hashes = tb.span_hash(tb.prefix_hash(flat), ends - np.array([len(w) for w in distinct], np.int64), ends) if distinct else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    symbol = {distinct[k]: i + 1 for i, k in enumerate(order.tolist())}
-    by_length: dict[int, list] = {}
-    members: dict[int, list[list[str]]] = {}
-    for phrase, owners in found.items():
-        by_length.setdefault(len(phrase), []).append([symbol[w] for w in phrase])
-        members.setdefault(len(phrase), []).append(sorted(owners))
-    return Phrases(hashes[order], {k: np.array(v, np.int64) for k, v in by_length.items()}, members, min(by_length, default=0))
+    known = [(str(i), t) for i, t in items if i is not None and t]
+    names, item_of = np.unique(np.array([i for i, _ in known], object), return_inverse=True) if known else ([], np.zeros(0, np.int64))
+    block = next(tb.blocks([pa.RecordBatch.from_arrays([pa.array([t for _, t in known], pa.string())], ["text"])], limit=2**62), None)
+    data = tb.LOWER[block.data] if block else np.zeros(0, np.uint8)
+    starts, ends = tb.runs(WORD_BYTE[data])
+    owner = block.doc_of(starts) if block else starts
+    group = tb.equal_spans(data, starts, ends - starts)
+    one = np.zeros(int(group.max(initial=-1)) + 1, np.int64)
+    one[group] = np.arange(len(group))
+    hashes = tb.span_hash(data, starts[one], ends[one])
+    order = np.argsort(hashes, kind="stable")
+    symbol_of = np.empty(len(order), np.int64)
+    symbol_of[order] = np.arange(1, len(order) + 1)
+    symbol = symbol_of[group]
+    one = one[order]
+    sizes = (ends - starts)[one]
+    counts = np.bincount(owner, minlength=len(known)).astype(np.int64)
+    first = np.cumsum(counts) - counts
+    width = np.minimum(window, counts)
+    by_length, members = {}, {}
+    for length in np.unique(width[counts > 0]).tolist():
+        own = np.flatnonzero(width == length)
+        times = counts[own] - length + 1
+        at = np.repeat(first[own] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        phrases, which = np.unique(symbol[at[:, None] + np.arange(length)], axis=0, return_inverse=True)
+        pair = np.unique(which.reshape(-1) * max(1, len(names)) + np.repeat(item_of[own], times))
+        by_length[length] = phrases
+        members[length] = (np.searchsorted(pair // len(names), np.arange(len(phrases) + 1)), pair % len(names))
+    return Phrases(hashes[order], tb.gather(data, starts[one], sizes), np.cumsum(sizes) - sizes, sizes, by_length, members, list(names), min(by_length, default=0))
 
 
 class Shard:
@@ -178,33 +208,33 @@ class Shard:
 
     def __init__(self, phrases: Phrases) -> None:
         self.phrases = phrases
-        small = (phrases.vocabulary & np.uint64(0xFFFF)).astype(np.int64)
+        small = (phrases.hashes & np.uint64(0xFFFF)).astype(np.int64)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[small] = True
         self.clear()
 
     def clear(self) -> None:
         self.ids: list[np.ndarray] = []
+        self.row_ids: list[np.ndarray] = []
         self.n_words: list[np.ndarray] = []
         self.runs: list[np.ndarray] = []  # rows: document in the shard, first word in it, symbols
         self.symbols: list[np.ndarray] = []
         self.docs = self.size = 0
 
-    def add(self, block: tb.Block, ids: np.ndarray) -> None:
+    def add(self, block: tb.Block, ids: np.ndarray, row_ids: np.ndarray | None = None) -> None:
         data = tb.LOWER[block.data]
         starts, ends = tb.runs(WORD_BYTE[data])
-        hashes = tb.span_hash(tb.prefix_hash(data), starts, ends)
+        hashes = tb.span_hash(data, starts, ends)
         owner = block.doc_of(starts)
         n_words = np.bincount(owner, minlength=len(ids))
         first = np.cumsum(n_words) - n_words
         self.ids.append(ids)
+        self.row_ids.append(np.zeros(len(ids), np.int64) if row_ids is None else row_ids)
         self.n_words.append(n_words)
-        vocabulary = self.phrases.vocabulary
-        if len(vocabulary) and len(hashes):
+        if len(self.phrases.hashes) and len(hashes):
             cand = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(vocabulary, hashes[cand]), len(vocabulary) - 1)
-            good = vocabulary[place] == hashes[cand]
-            word, symbol = cand[good], place[good] + 1
+            symbol = self.phrases.symbols(data, starts[cand], ends[cand], hashes[cand])
+            word, symbol = cand[symbol > 0], symbol[symbol > 0]
             fresh = np.concatenate([[True], (word[1:] != word[:-1] + 1) | (owner[word[1:]] != owner[word[:-1]])]) if len(word) else np.zeros(0, bool)
             run = np.flatnonzero(fresh)
             length = np.diff(np.concatenate([run, [len(word)]]))
@@ -224,7 +254,7 @@ class Shard:
         if not self.symbols:
             none = np.zeros(0, np.int64)
             return (none, none, none), items
-        index = FMIndex(np.concatenate(self.symbols), len(self.phrases.vocabulary) + 1)
+        index = FMIndex(np.concatenate(self.symbols), len(self.phrases.hashes) + 1)
         table = np.concatenate(self.runs)
         run_at = np.cumsum(table[:, 2] + 1) - table[:, 2] - 1
         docs, starts, ends = [], [], []
@@ -239,18 +269,20 @@ class Shard:
             docs.append(doc)
             starts.append(table[run, 1] + at - run_at[run])
             ends.append(starts[-1] + length)
+            begin, members = self.phrases.items[length]
             for pair in np.unique(doc * len(phrases) + which).tolist():
-                items.setdefault(pair // len(phrases), set()).update(self.phrases.items[length][pair % len(phrases)])
+                k = pair % len(phrases)
+                items.setdefault(pair // len(phrases), set()).update(self.phrases.names[i] for i in members[begin[k] : begin[k + 1]])
         return tb.merge_spans(np.concatenate(docs), np.concatenate(starts), np.concatenate(ends)), items
 
-    def rows(self, first_row: int) -> pa.RecordBatch:
+    def rows(self) -> pa.RecordBatch:
         (doc, start, end), items = self.search()
         ids, n_words = np.concatenate(self.ids), np.concatenate(self.n_words)
         offsets = np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)
         names = [sorted(items.get(k, ())) for k in range(len(ids))] if items else [[]] * len(ids)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.arange(first_row, first_row + len(ids))),
+                pa.array(np.concatenate(self.row_ids)),
                 pa.array(ids, mask=ids == tb.NULL_ID),
                 pa.array(n_words.astype(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32))),
@@ -261,28 +293,27 @@ class Shard:
         )
 
 
-def scan(phrases: Phrases):
-    """A mapInArrow function from documents to their removal spans."""
+def scan(phrases):
+    """A mapInArrow function from documents (row_id, doc_id, text) to their removal spans; phrases are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, row = Shard(phrases), 0
+        shard = Shard(phrases.value)
         for block in tb.blocks(batches):
-            shard.add(block, tb.long_ids(block.rows))
+            shard.add(block, tb.long_ids(block.rows), tb.column(block.rows, "row_id").to_numpy())
             if shard.size >= SHARD_SYMBOLS or shard.docs >= SHARD_DOCS:
-                yield shard.rows(row)
-                row += shard.docs
+                yield shard.rows()
                 shard.clear()
         if shard.docs:
-            yield shard.rows(row)
+            yield shard.rows()
 
     return run
 
 
-def clean(phrases: Phrases):
+def clean(phrases):
     """A mapInArrow function from documents to those without a phrase, in shards of at most SHARD_BYTES of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(phrases), []
+        shard, held = Shard(phrases.value), []
 
         def kept() -> Iterator[pa.RecordBatch]:
             (bad, _, _), _ = shard.search()
@@ -324,23 +355,23 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a document: doc_id, n_words, merged word spans to remove (starts, ends), items.
+    """One row a document: doc_id, n_words, merged word spans to remove (starts, ends), items."""
+    spark = docs.sparkSession
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+
+    def scanned(rows: DataFrame, block: list) -> DataFrame:
+        return rows.mapInArrow(scan(spark.sparkContext.broadcast(compile_phrases(block, window))), SPANS)
 
-    With several benchmark blocks, the passes read the same partitions in the same order; a document's
-    rows meet by partition and place in it, and their spans are merged."""
     docs = texts_of(docs)
-    parts = [docs.mapInArrow(scan(compile_phrases(block, window)), SPANS) for block in item_blocks(benchmark, block_bytes)]
-    if not parts:
-        parts = [docs.mapInArrow(scan(compile_phrases([], window)), SPANS)]
-    if len(parts) == 1:
-        return parts[0].drop("row_id")
-    # the same documents in the same order in each pass: the rows of repeated ids meet by their rank in a partition
-    keyed = [p.withColumn("part", F.spark_partition_id()) for p in parts]
-    union = keyed[0]
-    for p in keyed[1:]:
-        union = union.unionByName(p)
+    if second is None:
+        return scanned(docs.withColumn("row_id", F.lit(0).cast("long")), first).drop("row_id")
+    numbered = Scratch(spark, "decontaminate").save(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    union = scanned(numbered, first).unionByName(scanned(numbered, second))
+    for block in blocks:
+        union = union.unionByName(scanned(numbered, block))
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
-    merged = union.groupBy("part", "row_id", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = union.groupBy("row_id", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     united = F.expr(
         "aggregate(spans, cast(array() as array<struct<starts:int,ends:int>>), (a, s) -> case when size(a) > 0 and a[size(a) - 1].ends >= s.starts"
         " then concat(slice(a, 1, size(a) - 1), array(named_struct('starts', a[size(a) - 1].starts, 'ends', greatest(a[size(a) - 1].ends, s.ends)))) else concat(a, array(s)) end)"
@@ -370,7 +401,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
             if last:
                 scratch.drop(last)
             last = f"pass{k}"
-        docs = rows_of(docs).mapInArrow(clean(compile_phrases(block)), schema)
+        docs = rows_of(docs).mapInArrow(clean(scratch.spark.sparkContext.broadcast(compile_phrases(block))), schema)
     return docs
 
 

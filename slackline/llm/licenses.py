@@ -40,7 +40,7 @@ WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = tb.LOWER[data]
     starts, ends = tb.runs(WORD_BYTE[data])
-    return starts, ends, tb.span_hash(tb.prefix_hash(data), starts, ends)
+    return starts, ends, tb.span_hash(data, starts, ends)
 
 
 def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:

@@ -54,7 +54,7 @@ def shingle_sets(block: tb.Block) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a block."""
     data = tb.LOWER[block.data]
     starts, ends = tb.runs(WORD_BYTE[data])
-    words = tb.span_hash(tb.prefix_hash(data), starts, ends)
+    words = tb.span_hash(data, starts, ends)
     edges = np.searchsorted(starts, np.concatenate([block.starts, [len(data)]]))
     value = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):

@@ -6,6 +6,7 @@ Every document is followed by one separator byte, so spans never cross documents
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,11 @@ BLOCK_BYTES = 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-#: One odd random 64-bit number for each byte value; fixed by the seed above.
-BYTE_CODE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Spans longer than this are hashed by blake2b, one by one.
+LONG_SPAN = 512
+#: Keeps the first 0..8 bytes of a little-endian word.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -89,23 +90,6 @@ def merged_batches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-class Powers:
-    """BASE**i and BASE**-i modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE, np.uint64)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE_INVERSE, np.uint64)]), dtype=np.uint64)
-
-
-POWERS = Powers()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -113,17 +97,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h[i]: hash state before byte i; span_hash gives the hash of any span from it."""
-    POWERS.grow(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * POWERS.up[: len(data)], out=out[1:])
+def words_at(data: np.ndarray) -> np.ndarray:
+    """A view whose element i is the little-endian number of bytes i..i+7; bytes beyond the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: equal bytes, equal hash, wherever they stand.
+
+    A chain of mixing steps over 8-byte words, no polynomial: texts built to collide modulo 2**64 do not."""
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * BASE)
+    word = words_at(data)
+    active = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at = 0
+    while len(active):
+        left = size[active] - at
+        piece = word[starts[active] + at] & HEAD[np.minimum(left, 8)]
+        out[active] = mix((out[active] ^ piece) * BASE + np.uint64(at + 1))
+        at += 8
+        active = active[left > 8]
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return out
 
 
-def span_hash(state: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes, equal hash, wherever they stand."""
-    return mix((state[ends] - state[starts]) * POWERS.down[starts])
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after another."""
+    return data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Group numbers 0, 1, ... of spans: equal for equal bytes only. Hashes propose, bytes decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    hashes = span_hash(data, starts, starts + sizes)
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    same = sizes[order] == sizes[first]
+    if same.all():
+        rest = np.flatnonzero(~fresh)
+        same = (gather(data, starts[order[rest]], sizes[order[rest]]) == gather(data, starts[first[rest]], sizes[order[rest]])).all()
+    else:
+        same = False
+    out = np.empty(len(order), np.int64)
+    if same:
+        out[order] = np.cumsum(fresh) - 1
+    else:  # hashes collide: by the bytes themselves
+        known: dict[bytes, int] = {}
+        for k, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            out[k] = known.setdefault(data[s : s + n].tobytes(), len(known))
+    return out
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -253,12 +253,12 @@ def features(block: tb.Block, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]
 
 def word_features(data: np.ndarray, doc_of) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = tb.runs(LETTER[data])
-    state, owner = tb.prefix_hash(data), doc_of(starts)
-    docs, hashes = [owner], [tb.span_hash(state, starts, ends)]
+    owner = doc_of(starts)
+    docs, hashes = [owner], [tb.span_hash(data, starts, ends)]
     for n in PREFIXES:
         long = ends - starts >= n
         docs.append(owner[long])
-        hashes.append(tb.mix(tb.span_hash(state, starts[long], starts[long] + n) + np.uint64(n)))
+        hashes.append(tb.mix(tb.span_hash(data, starts[long], starts[long] + n) + np.uint64(n)))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
