@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,9 +119,7 @@ def test_fm_index_round_trip():
             assert at == [k for k in range(len(text) - m + 1) if (text[k : k + m] == p).all()]
 
 
-def test_repeated_bytes(spark, texts):
-    docs = table(spark, texts)
-    got = collections.Counter(tuple(r)[:5] for r in suffixes.repeated_bytes(docs).collect())
+def repeats_by_brute_force(texts):
     least = {}
     data = [(i, (t or "").encode()) for i, t in texts]
     for i, b in data:
@@ -134,17 +133,58 @@ def test_repeated_bytes(spark, texts):
                 gone[k : k + 50] = b"\1" * 50
         spans = len(re.findall(b"\1+", bytes(gone)))
         want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    assert got == want
+    return want
+
+
+def test_repeated_bytes(spark, texts):
+    got = collections.Counter(tuple(r)[:5] for r in suffixes.repeated_bytes(table(spark, texts)).collect())
+    assert got == repeats_by_brute_force(texts)
+
+
+def test_repeated_bytes_of_hot_lines(spark, monkeypatch):
+    """One line in every document, between other words; periodic texts; every minimiser hot, or only frequent ones."""
+    rng = random.Random(6)
+    line = "this very line stands in each and every document of this table, whatever else they hold."
+    out = [(i, f"{words(rng, 12, 90)} {line} {words(rng, 12, 90)}") for i in range(120)]
+    out += [(200, "ab" * 9000), (201, "ab" * 5000 + "c"), (202, "xyz" * 3000 + line), (203, line * 40), (None, line), (7, line), (7, line)]
+    want = repeats_by_brute_force(out)
+    docs = table(spark, out)
+    for hot, pack in ((suffixes.HOT_BYTES, suffixes.PACK_BYTES), (64, 2000), (3000, 500)):
+        monkeypatch.setattr(suffixes, "PACK_BYTES", pack)
+        assert collections.Counter(tuple(r)[:5] for r in suffixes.repeated_bytes(docs, hot).collect()) == want
 
 
 def test_two_stage_suffix_array():
     rng = np.random.default_rng(2)
     for n, letters in ((1, 1), (60, 1), (700, 2), (3000, 250)):
         text = rng.integers(1, letters + 1, n).astype(np.uint8)
-        order, _, _ = suffixes.two_stage_suffix_array(text)
+        order = suffixes.two_stage_suffix_array(text)
         data = text.tobytes()
         cut = [data[k : k + 56] for k in order.tolist()]
         assert sorted(order.tolist()) == list(range(n)) and cut == sorted(cut)
+        common = suffixes.common_prefixes(text, order)
+        padded = [data[k : k + 56].ljust(56, b"\0") for k in order.tolist()]
+        want = [0] + [next((k for k in range(50) if a[k] != b[k]), 50) for a, b in zip(padded, padded[1:])]
+        assert common.tolist() == want
+
+
+def test_hashes_of_thue_morse_words(spark):
+    word = [0]
+    while len(word) < 2048:
+        word += [1 - x for x in word]
+    a, b = ("".join("ab"[x ^ k] for x in word) for k in (0, 1))
+    data = np.frombuffer(f"{a}{b}".encode(), np.uint8)
+    assert suffixes.tb.equal_spans(data, np.array([0, 2048, 0]), np.array([2048] * 3)).tolist() in ([0, 1, 0], [1, 0, 1])
+    docs = table(spark, [(1, a), (2, b)])
+    assert {(r.doc_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == {(1, True), (2, True)}
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.digest(decontaminate.removal_spans(docs, bench)).select("doc_id", "n_hit").orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
+
+
+def test_spans_with_equal_hashes_are_told_apart(monkeypatch):
+    data = np.frombuffer(b"aabbaacc", np.uint8)
+    monkeypatch.setattr(suffixes.tb, "span_hash", lambda d, s, e: np.zeros(len(s), np.uint64))
+    assert suffixes.tb.equal_spans(data, np.array([0, 2, 4, 6, 0]), np.array([2, 2, 2, 2, 3])).tolist() == [0, 1, 0, 2, 3]
 
 
 def test_token_counts(spark, texts):
@@ -252,14 +292,40 @@ def test_training_order(spark, texts, tmp_path):
     path = P.path("byte_bpe_50k.tiktoken")
     rows = training_order.materialise(table(spark, texts), folder, path, P.PATTERN, length=64, shard_rows=16).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    read = dict(training_order.read_slots(folder, 0, 16, 64))
-    assert [s for s, _ in training_order.read_slots(folder, 37, 16, 64)] == list(range(37, len(rows)))
+    read = dict(training_order.read_slots(folder))
+    assert [s for s, _ in training_order.read_slots(folder, 37)] == list(range(37, len(rows)))
     assert {r.slot: r.n_tokens for r in rows} == {s: len(t) for s, t in read.items()}
     stream = np.concatenate([read[s] for s in training_order.slots(np.arange(len(rows)), len(rows)).tolist()])
     decode = training_order.encoding(path, P.PATTERN).decode
     back = [decode(t[:-1].tolist()) for t in np.split(stream, np.flatnonzero(stream == training_order.END) + 1)[:-1]]
     assert collections.Counter(back) == collections.Counter(t or "" for _, t in texts)
     assert {i for r in rows for i in r.doc_ids} == {i for i, _ in texts}
+    assert [r.crc32 for r in sorted(rows)] == [zlib.crc32(t.tobytes() + b"\xff" * (128 - t.nbytes)) for _, t in sorted(read.items())]
+    about = training_order.manifest(folder)
+    assert (about["sequences"], about["length"], about["shard_rows"], about["key"]) == (len(rows), 64, 16, training_order.KEY)
+
+
+def test_packing_streams_over_batches():
+    """Sequences do not depend on how rows are cut into batches."""
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(3), i, [rng.randrange(1000) for _ in range(rng.choice((1, 2, 7, 40, 300)))]) for i in range(60))
+    flat = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([np.array(r[2], np.uint16).tobytes() for r in rows])], ["range", "doc_id", "tokens"])
+    want = []
+    for part in range(3):
+        tokens = [(t, i) for p, i, ts in rows if p == part for t in ts]
+        for k, a in enumerate(range(0, len(tokens), 16)):
+            seq = tokens[a : a + 16]
+            want.append((part, k, [t for t, _ in seq], len(seq), list(dict.fromkeys(i for _, i in seq))))
+    for size in (1, 2, 7, 60):
+        got = [r for b in training_order.pack(16)(flat.slice(k, size) for k in range(0, 60, size)) for r in b.to_pylist()]
+        assert [(r["range"], r["place"], np.frombuffer(r["tokens"], np.uint16)[: r["n_tokens"]].tolist(), r["n_tokens"], r["doc_ids"]) for r in got] == want
+
+
+def test_repeats_are_spread(spark):
+    rows = [(7, "one repeated text of some words")] * 40 + [(i, f"other text number {i}") for i in range(100, 900)]
+    got = training_order.training_shards(table(spark, rows), spread=True).collect()
+    plain = training_order.training_shards(table(spark, rows)).collect()
+    assert max(sum(i == 7 for i in r.doc_ids) for r in got) < 10 <= max(sum(i == 7 for i in r.doc_ids) for r in plain)
 
 
 def test_mixing(spark):
@@ -343,9 +409,16 @@ def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
     vectors = [*base, *(base[:30] + 0.1 * rng.standard_normal((30, 16))), base[3], base[3], base[40] * 7.5]
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
-    odd = [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] + [1.0] * 15, 1), (203, [None] + [1.0] * 15, 1), (204, [], 1), (205, [1.0, 2.0], 1), (206, [float("inf")] + [0.0] * 15, 1), (None, base[3].tolist(), 1)]
-    got = {r.vec_id: r for r in projections.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")).collect()}
+    rows = [(i, v.tolist(), 1, "u", "c") for i, v in enumerate(vectors)]
+    odd = [(*o, "u", "c") for o in ((200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] + [1.0] * 15, 1), (203, [None] + [1.0] * 15, 1), (204, [], 1), (205, [1.0, 2.0], 1), (206, [float("inf")] + [0.0] * 15, 1), (None, base[3].tolist(), 1))]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, n int, unit string, cells string")
+    # one group; several tables of small groups; groups dealt on to pairs of blocks
+    assert projections.grid(1000) == (0, 1) and projections.grid(len(rows), 8)[1] > 3
+    for group, block in ((projections.GROUP, projections.BLOCK), (8, projections.BLOCK), (40, 7)):
+        check_links(vectors, {r.vec_id: r for r in projections.near_duplicates(frame, group, block).collect()})
+
+
+def check_links(vectors, got):
     x = np.stack(vectors)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.95
