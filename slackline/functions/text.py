@@ -17,8 +17,27 @@ NUMBER = r"[-+]?(?:\d[\d,]*\.?\d*|\.\d+)"
 PURE_NUMBER = rf"^{NUMBER}$"
 PAIR = r"(\d+(?:\.\d+)?)\s*[/\-]\s*(\d+(?:\.\d+)?)"
 ACTIVITY_IDS = (r"^[A-Za-z]\d{1,4}$", r"^[A-Za-z]{1,3}\d{1,4}$", r"^\d{1,4}[A-Za-z]$")
-# Characters that recognition confuses.
-CONFUSED = {"0": "O", "1": "I", "5": "S", "8": "B", "2": "Z", "6": "G", "|": "I", "l": "I"}
+# What a single character may have been before recognition.
+AMBIGUOUS = {
+    "O": ["0", "D", "Q"],
+    "0": ["O", "D", "Q"],
+    "S": ["5", "8"],
+    "5": ["S"],
+    "V": ["Y", "U"],
+    "Y": ["V"],
+    "I": ["1", "l"],
+    "1": ["I", "l"],
+    "Z": ["2"],
+    "2": ["Z"],
+    "B": ["8"],
+    "8": ["B"],
+    "G": ["6", "C"],
+    "6": ["G"],
+    "Q": ["O", "0"],
+    "D": ["O", "0"],
+}
+# The letter that a digit is taken for where an id must be a letter.
+LETTER_FOR_DIGIT = {"0": "O", "5": "S", "8": "B", "1": "I", "2": "Z", "6": "G", "3": "B"}
 
 
 @F.pandas_udf(StringType())
@@ -104,6 +123,17 @@ def is_duration_format(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(r"^\d+(\.\d+)?$"), F.lit(False))
 
 
+def lookup(known: dict[str, str] | dict[str, list[str]], key: Column) -> Column:
+    """The entry of a small fixed map, null where it has none."""
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.create_map(*[x for k, v in known.items() for x in (F.lit(k), value(v))])[key]
+
+
 def unconfused(c: Column) -> Column:
-    """Letters for the digits and signs that recognition takes for them."""
-    return F.translate(c, "".join(CONFUSED), "".join(CONFUSED.values()))
+    """The letter for a text of one digit that recognition takes for a letter; other texts as they are."""
+    return F.coalesce(lookup(LETTER_FOR_DIGIT, c), c)
+
+
+def ambiguous(c: Column) -> Column:
+    """array<string>: what else a text of one character may say, in order; empty for others."""
+    return F.coalesce(lookup(AMBIGUOUS, c), F.array().cast("array<string>"))

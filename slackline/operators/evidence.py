@@ -48,9 +48,25 @@ def resolved_ids(rows: DataFrame) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame) -> DataFrame:
-    """node_id, seq, resolved_id, confidence -> keeps_id: of nodes with one id, the most confident (then first) keeps it."""
-    order = W.partitionBy("resolved_id").orderBy(F.desc("confidence"), "seq", "node_id")
-    return rows.withColumn("keeps_id", F.col("resolved_id").isNotNull() & (F.row_number().over(order) == 1))
+    """Resolved ids (network_id, node_id, seq, raw, resolved_id, status, confidence, alternatives) made unique within each network.
+
+    Of the nodes that claim one id (their resolved one, else the raw one) the most confident, then first, keeps it. Each other
+    one, in that order, takes its best alternative that is a single letter and not used by those before it, or else needs a review."""
+    ranked = F.array_sort(F.transform(F.coalesce("alternatives", F.expr("cast(array() as array<struct<id:string,confidence:double>>)")), lambda a, i: F.struct((-a["confidence"]).alias("rank"), i.alias("place"), a["id"].alias("id"))))
+    options = F.filter(F.transform(ranked, lambda a: a["id"]), lambda i: i.rlike("^[A-Z]$"))
+    claimed = rows.withColumn("claim", F.coalesce("resolved_id", F.nullif(F.upper("raw"), F.lit("")))).withColumn("options", options)
+    node = F.struct((-F.col("confidence")).alias("rank"), "seq", "node_id", "resolved_id", "status", "options")
+    groups = claimed.filter("claim is not null").groupBy("network_id", "claim").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    settled = F.expr(
+        """aggregate(slice(nodes, 2, size(nodes)),
+            named_struct('used', filter(array(nodes[0].resolved_id), u -> u is not null), 'out', array(named_struct('node_id', nodes[0].node_id, 'resolved_id', nodes[0].resolved_id, 'status', nodes[0].status))),
+            (state, x) -> transform(array(try_element_at(filter(x.options, o -> not array_contains(state.used, o)), 1)), pick -> named_struct(
+                'used', if(pick is null, state.used, array_append(state.used, pick)),
+                'out', array_append(state.out, named_struct('node_id', x.node_id, 'resolved_id', pick, 'status', if(pick is null, 'REVIEW_REQUIRED', 'CONTEXTUALLY_RESOLVED')))))[0],
+            state -> state.out)"""
+    )
+    done = groups.select("network_id", F.explode(settled).alias("n")).select("network_id", "n.*")
+    return done.unionByName(claimed.filter("claim is null").select("network_id", "node_id", "resolved_id", "status"))
 
 
 def suffixed_ids(rows: DataFrame, partition: list[str], order: list[str]) -> Column:
@@ -164,20 +180,38 @@ def review_issues(rows: DataFrame) -> DataFrame:
 
 
 # Characters that recognition takes for one another.
-CONFUSABLE = {"C": "GOQ", "G": "C6", "O": "QD0", "Q": "OD", "I": "L1l", "L": "I1", "S": "58", "Z": "2", "B": "8", "D": "O0", "U": "V", "V": "UY", "M": "N", "N": "M"}
+CONFUSABLE = {
+    "C": ["G", "O", "Q"],
+    "G": ["C", "6"],
+    "O": ["Q", "D", "0"],
+    "Q": ["O", "D"],
+    "I": ["L", "1", "l"],
+    "L": ["I", "1"],
+    "S": ["5", "8"],
+    "Z": ["2"],
+    "B": ["8", "13"],
+    "D": ["O", "0"],
+    "U": ["V"],
+    "V": ["U", "Y"],
+    "M": ["N"],
+    "N": ["M"],
+}
+
+
+def confusable(c: Column) -> Column:
+    """array<string>: what recognition may have made of a character, in order; empty for others."""
+    return F.coalesce(text.lookup(CONFUSABLE, F.upper(c)), F.array().cast("array<string>"))
 
 
 def topology_candidates(rows: DataFrame) -> DataFrame:
     """rows (network_id, node_id, raw, confidence, alternatives) -> candidate ids with base scores: raw 0.5, alternatives 0.8 of theirs, confusions 0.3, letters next to it 0.2; the first of equal ids counts."""
-    known = F.create_map(*[F.lit(x) for k, v in CONFUSABLE.items() for x in (k, v)])
     one = lambda c, base, rank: F.struct(F.lit(rank).alias("rank"), c.alias("id"), base.alias("base"))
     raw = F.col("raw")
-    confused = F.filter(F.split(F.coalesce(known[F.upper(raw)], F.lit("")), ""), lambda c: c != "")
     step = lambda k: F.when(raw.rlike("^[A-Za-z]$"), F.char(F.ascii(F.upper(raw)) + k))
     groups = F.concat(
         F.array(one(raw, F.lit(0.5), 0)),
         F.transform("alternatives", lambda a: one(a["id"], a["confidence"] * 0.8, 1)),
-        F.transform(confused, lambda c: one(c, F.lit(0.3), 2)),
+        F.transform(confusable(raw), lambda c: one(c, F.lit(0.3), 2)),
         F.transform(F.filter(F.array(step(-1), step(1)), lambda c: c.rlike("^[A-Z]$")), lambda c: one(c, F.lit(0.2), 3)),
     )
     flat = rows.filter("raw is not null").select("network_id", "node_id", "raw", "confidence", F.posexplode(groups).alias("place", "c")).select("network_id", "node_id", "raw", "confidence", "place", "c.*")

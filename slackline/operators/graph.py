@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from slackline.operators.schedule import gathered, let
+from slackline.operators.schedule import FOLD_LIMIT, by_size, gathered, let, loop_schedule
 from slackline.plans.iterate import cut
 
 KEY = ["network_id", "activity_id"]
@@ -53,8 +53,18 @@ def counts(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
     return a.join(d, "network_id", "left").withColumn("dependency_count", F.coalesce("dependency_count", F.lit(0))).select("network_id", "activity_count", "dependency_count", "activity_ids")
 
 
-def levels(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+def levels(activities: DataFrame, dependencies: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """network_id, activity_id, seq, level: edges of the longest chain from a source; cyclic networks are left out."""
+    return by_size(activities, dependencies, fold_levels, loop_levels, fold_limit)
+
+
+def loop_levels(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """With durations of 1, the early start of an activity is its level."""
+    steps = loop_schedule(activities.select("network_id", "activity_id", "seq", F.lit(1.0).alias("duration")), dependencies)
+    return steps.select("network_id", "activity_id", "seq", F.col("early_start").cast("int").alias("level"))
+
+
+def fold_levels(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
     rows = gathered(activities, dependencies).filter("acyclic")
     level = "aggregate(sequence(1, size(a)), cast(array() as array<int>), (lv, i) -> array_append(lv, coalesce(array_max(transform(filter(e, x -> x.t = i), x -> lv[x.s - 1])) + 1, 0)))"
     flat = rows.withColumn("lv", F.expr(let(level, "a", "e"))).select("network_id", F.explode(F.arrays_zip("a", "lv")).alias("z"))
@@ -76,9 +86,39 @@ def edge_points(placed: DataFrame, dependencies: DataFrame, width: int = 132, he
     return dependencies.join(s, ["network_id", "source"]).join(t, ["network_id", "target"]).select("network_id", "source", "target", "x1", "y1", "x2", "y2")
 
 
-def acyclic(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+def acyclic(activities: DataFrame, dependencies: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """network_id, is_dag. Edges with an unknown end are ignored."""
-    return gathered(activities, dependencies).select("network_id", F.col("acyclic").alias("is_dag"))
+
+    def fold(a: DataFrame, d: DataFrame) -> DataFrame:
+        return gathered(a, d).select("network_id", F.col("acyclic").alias("is_dag"))
+
+    def loop(a: DataFrame, d: DataFrame) -> DataFrame:
+        sorted_out = loop_levels(a, d).select("network_id").distinct().withColumn("is_dag", F.lit(True))
+        return a.select("network_id").distinct().join(sorted_out, "network_id", "left").select("network_id", F.coalesce("is_dag", F.lit(False)).alias("is_dag"))
+
+    return by_size(activities.withColumn("duration", F.lit(1.0)), dependencies, fold, loop, fold_limit)
+
+
+def example_cycles(activities: DataFrame, dependencies: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """network_id, cycle (ids, the first not repeated) of every cyclic network: through the smallest id that lies on a
+    cycle, of the cycles through it a shortest one, then the first by ids.
+
+    Only cyclic networks take part; rounds extend the best chain from each id to each id by an edge."""
+    cyclic = acyclic(activities, dependencies, fold_limit).filter("not is_dag").select("network_id")
+    edges = cut(known_edges(activities, dependencies).distinct().join(cut(cyclic), "network_id", "left_semi"))
+    step = edges.select("network_id", F.col("source").alias("at"), F.col("target").alias("next"))
+    chains = cut(edges.select("network_id", F.col("source").alias("start"), F.col("target").alias("at"), F.array("source").alias("path")))
+    seen = chains.select("network_id", "start", "at")
+    closed = chains.filter("start = at").select("network_id", "start", "path")
+    while True:
+        longer = chains.filter("start <> at").join(step, ["network_id", "at"]).select("network_id", "start", F.col("next").alias("at"), F.array_append("path", F.col("at")).alias("path"))
+        best = longer.groupBy("network_id", "start", "at").agg(F.min("path").alias("path"))
+        chains = cut(best.join(seen, ["network_id", "start", "at"], "left_anti"))
+        if chains.isEmpty():
+            break
+        seen = cut(seen.unionByName(chains.select("network_id", "start", "at")))
+        closed = closed.unionByName(chains.filter("start = at").select("network_id", "start", "path"))
+    return closed.groupBy("network_id").agg(F.min(F.struct("start", "path")).alias("m")).select("network_id", F.col("m.path").alias("cycle"))
 
 
 def consecutive_pairs(paths: DataFrame) -> DataFrame:

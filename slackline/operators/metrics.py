@@ -60,3 +60,9 @@ def node_accuracy(truth: DataFrame, detected: DataFrame, matched: DataFrame) ->
 def mean_metrics(rows: DataFrame, group: str, names: list[str]) -> DataFrame:
     """Means over networks with equal weight; nulls do not count."""
     return rows.groupBy(group).agg(*[half_even(F.avg(n), 4).alias(n) for n in names], *[F.count(n).alias(f"{n}_count") for n in names])
+
+
+def benchmark(runs: DataFrame, stages: DataFrame, edges: DataFrame) -> DataFrame:
+    """runs (image, status, outcome), stages (image, stage, failure_class) and edge_accuracy() of the annotated ones, joined to a row an image."""
+    accuracy = edges.select(F.col("network_id").alias("image"), F.col("f1").alias("dependency_f1"), "direction_accuracy")
+    return runs.join(stages, "image").join(accuracy, "image", "left").select("image", "status", "outcome", "stage", "failure_class", "dependency_f1", "direction_accuracy")

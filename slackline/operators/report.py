@@ -39,3 +39,9 @@ def event_precedence(arrows: DataFrame) -> DataFrame:
     edges = p.join(s, ["network_id", "event"]).filter("source <> target").groupBy("network_id", "source", "target").agg(F.min(F.least("c1", "c2")).alias("confidence"))
     back = edges.select("network_id", F.col("target").alias("source"), F.col("source").alias("target"), F.lit(True).alias("back"))
     return edges.join(back, ["network_id", "source", "target"], "left").select("network_id", "source", "target", "confidence", F.col("back").isNotNull().alias("needs_review"))
+
+
+def sort_keys(column: str, numeric: bool, descending: bool = False) -> list:
+    """Order of a results table by one of its columns: numbers as numbers with missing ones last (first when descending), other columns as text."""
+    key = F.coalesce(F.col(column).try_cast("double"), F.lit(float("inf"))) if numeric else F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return [key.desc() if descending else key.asc()]

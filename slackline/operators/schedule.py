@@ -3,7 +3,7 @@
 Two strategies give the same numbers. The fold collects a small network into one row and runs both
 passes as array folds: one shuffle a table, no Python, no loop over jobs. The loop advances all
 networks together by topological rounds of joins with checkpointed state; it takes networks of any
-size, so one huge network never lands in one row. ``schedule`` sends each network to the one that fits.
+size, so one huge network never lands in one row. ``by_size`` sends each network to the one that fits.
 
 Inputs: activities (network_id, activity_id, seq, duration, ...) and dependencies (network_id,
 source, target). Repeated edges count once; edges with an unknown end are ignored (validation
@@ -12,6 +12,8 @@ reports them); networks with a cycle get no schedule.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -134,12 +136,17 @@ def schedule(activities: DataFrame, dependencies: DataFrame, tolerance: float =
     """Early and late times, floats and criticality of every activity of every acyclic network."""
     if tolerance < 0:
         raise ValueError("tolerance must not be negative")
+    return by_size(activities, dependencies, lambda a, d: fold_schedule(a, d, tolerance), lambda a, d: loop_schedule(a, d, tolerance), fold_limit)
+
+
+def by_size(activities: DataFrame, dependencies: DataFrame, fold: Callable, loop: Callable, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """fold(activities, dependencies) of networks with at most fold_limit vertices, and loop() of larger ones, which gives the same columns."""
     large = activities.groupBy("network_id").count().filter(F.col("count") > fold_limit).select("network_id")
     if large.isEmpty():
-        return fold_schedule(activities, dependencies, tolerance)
+        return fold(activities, dependencies)
     large = cut(large)
-    small_part = fold_schedule(activities.join(large, "network_id", "left_anti"), dependencies.join(large, "network_id", "left_anti"), tolerance)
-    return small_part.unionByName(loop_schedule(activities.join(large, "network_id", "left_semi"), dependencies.join(large, "network_id", "left_semi"), tolerance))
+    small, rest = ([t.join(large, "network_id", how) for t in (activities, dependencies)] for how in ("left_anti", "left_semi"))
+    return fold(*small).unionByName(loop(*rest))
 
 
 def summary(scheduled: DataFrame) -> DataFrame:

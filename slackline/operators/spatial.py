@@ -125,6 +125,16 @@ def suppress_duplicates(shapes: DataFrame) -> DataFrame:
     return rows.select("network_id", F.explode(F.expr(kept)).alias("s")).select("network_id", "s.node_id", "s.shape_type")
 
 
+def without_outliers(shapes: DataFrame, least: int = 5, small: float = 0.3, large: float = 1.5) -> DataFrame:
+    """Shapes without rectangles and squares whose area is far from the median of their network's (halfway between the middle two); networks of few ones keep all."""
+    area = F.col("width") * F.col("height")
+    box = F.col("shape_type").isin("rectangle", "square")
+    middle = shapes.filter(box).groupBy("network_id").agg(F.median(area).alias("middle"), F.count("*").alias("boxes"))
+    rows = shapes.join(middle, "network_id", "left")
+    odd = box & (F.col("boxes") >= least) & (F.col("middle") > 0) & ((area > large * F.col("middle")) | (area < small * F.col("middle")))
+    return rows.filter(~F.coalesce(odd, F.lit(False))).drop("middle", "boxes")
+
+
 def greedy_matching(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs (network_id, gt_id, det_id) of candidates (score, distance): best score first, then distance and ids."""
     rows = pairs.groupBy("network_id").agg(F.expr("array_sort(collect_list(struct(-score as rank, distance, gt_id, det_id)))").alias("all"))

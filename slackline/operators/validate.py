@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from slackline.operators import graph
-from slackline.operators.schedule import gathered, let
+from slackline.operators.schedule import FOLD_LIMIT, by_size, gathered, let
 
 
 def issue(rows: DataFrame, code: str, element: Column | str = "") -> DataFrame:
@@ -31,9 +31,19 @@ def repeated_edges(dependencies: DataFrame) -> DataFrame:
     return counted.filter("n > 1").withColumn("k", F.explode(F.expr("sequence(2, n)"))).drop("n", "k")
 
 
-def component_counts(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """network_id, component_count, by folds: labels of a small network settle within its own row."""
-    rows = gathered(activities.dropDuplicates(["network_id", "activity_id"]), dependencies)
+def component_counts(activities: DataFrame, dependencies: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """network_id, component_count, acyclic."""
+    return by_size(activities.dropDuplicates(["network_id", "activity_id"]), dependencies, fold_counts, loop_counts, fold_limit)
+
+
+def loop_counts(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    counted = graph.components(activities, dependencies).groupBy("network_id").agg(F.count_distinct("component").cast("int").alias("component_count"))
+    return counted.join(graph.acyclic(activities, dependencies, 0), "network_id").select("network_id", "component_count", F.col("is_dag").alias("acyclic"))
+
+
+def fold_counts(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Labels of a small network settle within its own row."""
+    rows = gathered(activities, dependencies)
     label = """aggregate(sequence(1, size(a)), sequence(1, size(a)), (c, r) -> transform(c, (v, i) ->
         least(v, coalesce(array_min(transform(filter(e, x -> x.s = i + 1 or x.t = i + 1), x -> least(c[x.s - 1], c[x.t - 1]))), v))))"""
     return rows.select("network_id", F.size(F.array_distinct(F.expr(let(label, "a", "e")))).alias("component_count"), "acyclic")

@@ -81,17 +81,17 @@ def cpm_schedule(spark, d):
 
 @query("gr08_forward_pass", f"{CPM} SELECT network_id, activity_id, early_start, early_finish FROM cpm")
 def forward(spark, d):
-    return schedule.fold_schedule(*nets(spark, d)).select("network_id", "activity_id", "early_start", "early_finish")
+    return schedule.schedule(*nets(spark, d)).select("network_id", "activity_id", "early_start", "early_finish")
 
 
 @query("gr09_backward_pass", f"{CPM} SELECT network_id, activity_id, late_start, late_finish FROM cpm")
 def backward(spark, d):
-    return schedule.fold_schedule(*nets(spark, d)).select("network_id", "activity_id", "late_start", "late_finish")
+    return schedule.schedule(*nets(spark, d)).select("network_id", "activity_id", "late_start", "late_finish")
 
 
 @query("gr11_floats", f"{CPM} SELECT network_id, activity_id, total_float, free_float, is_critical FROM cpm")
 def floats(spark, d):
-    return schedule.fold_schedule(*nets(spark, d)).select("network_id", "activity_id", "total_float", "free_float", "is_critical")
+    return schedule.schedule(*nets(spark, d)).select("network_id", "activity_id", "total_float", "free_float", "is_critical")
 
 
 @query("gr22_loop_schedule", f"{CPM} SELECT * FROM cpm")
@@ -102,7 +102,7 @@ def loop(spark, d):
 
 @query("ag01_project_duration", f"{CPM} SELECT network_id, max(project_duration) AS project_duration, count(*) FILTER (is_critical) AS critical_count, count(*) FILTER (NOT is_critical) AS non_critical_count FROM cpm GROUP BY network_id")
 def project_duration(spark, d):
-    return schedule.summary(schedule.fold_schedule(*nets(spark, d)))
+    return schedule.summary(schedule.schedule(*nets(spark, d)))
 
 
 @query("gr12_critical_paths", f"{CPM}, {WALKS} SELECT network_id, row_number() OVER (PARTITION BY network_id ORDER BY len(path), path) AS path_rank, array_to_string(path, '>') AS path, len(path) AS path_len, total AS path_duration FROM whole WHERE abs(total - project_duration) < 1e-9")
@@ -137,7 +137,7 @@ def expected(spark, d):
 @query("gr16_pert_schedule", f"{PERT} SELECT network_id, activity_id, early_start, early_finish, late_start, late_finish, round(total_float, 9) AS total_float, is_critical FROM cpm")
 def pert(spark, d):
     acts, deps = nets(spark, d)
-    out = schedule.fold_schedule(schedule.with_expected_times(acts), deps)
+    out = schedule.schedule(schedule.with_expected_times(acts), deps)
     return out.select("network_id", "activity_id", "early_start", "early_finish", "late_start", "late_finish", F.round("total_float", 9).alias("total_float"), "is_critical")
 
 
@@ -150,7 +150,7 @@ def pert_totals(spark, d):
     acts, deps = nets(spark, d)
     acts = schedule.with_expected_times(acts)
     paths = schedule.critical_paths(acts, deps, full_length=False)
-    return schedule.path_variance(paths, acts).join(schedule.summary(schedule.fold_schedule(acts, deps)), "network_id")
+    return schedule.path_variance(paths, acts).join(schedule.summary(schedule.schedule(acts, deps)), "network_id")
 
 
 @query("ag04_project_variance", f"{PERT_VARIANCE} SELECT network_id, round(mean, 9) AS project_duration, round(var, 6) AS project_variance, round(sqrt(var), 6) AS project_deviation FROM m")
@@ -288,11 +288,28 @@ def components(spark, d):
     return graph.components(acts, deps.filter(apart)).select("network_id", "activity_id", "component")
 
 
-@query("gr06_cycles", f"WITH {DIRTY} SELECT network_id, count(*) FILTER (network_id % 97 = 0 AND source = 'N01' AND target <> 'N01' AND target <> 'X99') = 0 AND count(*) FILTER (source = 'N01' AND target = 'N01') = 0 AS is_dag FROM dirty_dependencies GROUP BY network_id")
+#: Reachability along edges whose ends are activities; an activity lies on a cycle when it reaches itself.
+FORTH = f"""{DIRTY}, known AS (SELECT DISTINCT d.network_id, d.source, d.target FROM dirty_dependencies d JOIN activities a ON a.network_id = d.network_id AND a.activity_id = d.source JOIN activities b ON b.network_id = d.network_id AND b.activity_id = d.target),
+onward(network_id, s, t) AS (SELECT network_id, source, target FROM known UNION SELECT o.network_id, o.s, k.target FROM onward o JOIN known k ON k.network_id = o.network_id AND k.source = o.t)"""
+
+
+@query("gr06_cycles", f"WITH RECURSIVE {FORTH} SELECT network_id, network_id NOT IN (SELECT network_id FROM onward WHERE s = t) AS is_dag FROM (SELECT DISTINCT network_id FROM activities) a")
 def cycles(spark, d):
     acts, deps = nets(spark, d)
-    checked = graph.acyclic(acts, derived.dirty_dependencies(deps))
-    return checked.join(deps.select("network_id").distinct(), "network_id", "left_semi")
+    return graph.acyclic(acts, derived.dirty_dependencies(deps))
+
+
+@query(
+    "gr06_example_cycles",
+    f"""WITH RECURSIVE {FORTH}, on_cycle AS (SELECT network_id, min(s) AS start FROM onward WHERE s = t GROUP BY network_id),
+    chain(network_id, start, place, path) AS (SELECT k.network_id, c.start, k.target, [k.source] FROM known k JOIN on_cycle c ON c.network_id = k.network_id AND c.start = k.source
+      UNION ALL SELECT c.network_id, c.start, k.target, list_append(c.path, k.source) FROM chain c JOIN known k ON k.network_id = c.network_id AND k.source = c.place WHERE c.place <> c.start AND NOT list_contains(c.path, c.place)),
+    r AS (SELECT network_id, path, row_number() OVER (PARTITION BY network_id ORDER BY len(path), path) AS k FROM chain WHERE place = start)
+    SELECT network_id, array_to_string(path, '>') AS cycle FROM r WHERE k = 1""",
+)
+def example_cycles(spark, d):
+    acts, deps = nets(spark, d)
+    return graph.example_cycles(acts, derived.dirty_dependencies(deps)).select("network_id", F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("gr03_remove_vertex", f"WITH {NETWORKS} SELECT network_id, source, target FROM dependencies WHERE source <> 'N02' AND target <> 'N02'")
@@ -348,16 +365,16 @@ def cpm_gate(spark, d):
     """Schedules only of networks that pass every check; a single activity is isolated and does not."""
     acts, deps = nets(spark, d)
     valid = validate.graph_status(acts, deps).filter("status = 'VALID'").select("network_id")
-    return schedule.summary(schedule.fold_schedule(acts.join(valid, "network_id", "left_semi"), deps)).select("network_id", "project_duration")
+    return schedule.summary(schedule.schedule(acts.join(valid, "network_id", "left_semi"), deps)).select("network_id", "project_duration")
 
 
 @query(
     "va04_first_error",
-    f"""WITH {DIRTY}, ids AS (SELECT network_id, activity_id, count(*) AS n FROM dirty_activities GROUP BY ALL),
+    f"""{VALIDATION}, counted AS (SELECT network_id, activity_id, count(*) AS n FROM dirty_activities GROUP BY ALL),
     e AS (SELECT network_id, 2 AS rank, 'missing_duration' AS code FROM dirty_activities WHERE duration IS NULL OR duration <= 0
-      UNION ALL SELECT network_id, 3, 'duplicate_activity' FROM ids WHERE n > 1
+      UNION ALL SELECT network_id, 3, 'duplicate_activity' FROM counted WHERE n > 1
       UNION ALL SELECT d.network_id, 4, 'missing_reference' FROM dirty_dependencies d WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.network_id = d.network_id AND i.activity_id = d.source) OR NOT EXISTS (SELECT 1 FROM ids i WHERE i.network_id = d.network_id AND i.activity_id = d.target)
-      UNION ALL SELECT network_id, 5, 'cycle' FROM dirty_dependencies WHERE source = target OR (network_id % 97 = 0 AND target = 'N01'))
+      UNION ALL SELECT DISTINCT network_id, 5, 'cycle' FROM forth WHERE s = t)
     SELECT network_id, min_by(code, rank) AS code FROM e GROUP BY network_id""",
 )
 def first_error(spark, d):

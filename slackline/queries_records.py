@@ -89,9 +89,30 @@ def first_number(spark, d):
     return labels_in(spark, d).select("region", text.first_number(text.digits_to_ascii(F.col("text"))).alias("value"))
 
 
-@query("fn12_unconfused", f"WITH {LABELS} SELECT region, translate(text, '01582 6|l', 'OISBZ GII') AS letters FROM labels_in")
+#: One character for each part, and the SQL's own statement of the maps.
+SIGNS = "0123456789ABCDGIOQSVYZ"
+ONE_SIGN = f"signs AS (SELECT p_partkey AS region, CASE WHEN p_partkey % 9 = 0 THEN p_name ELSE substr('{SIGNS}', CAST(p_partkey % {len(SIGNS)} + 1 AS INTEGER), 1) END AS text FROM part)"
+
+
+def signs(spark, d):
+    k = F.col("p_partkey")
+    one = F.substring(F.lit(SIGNS), (k % len(SIGNS) + 1).cast("int"), F.lit(1))
+    return derived.read(spark, d, "part").select(k.alias("region"), F.when(k % 9 == 0, F.col("p_name")).otherwise(one).alias("text"))
+
+
+@query("fn12_unconfused", f"WITH {ONE_SIGN} SELECT region, CASE text WHEN '0' THEN 'O' WHEN '1' THEN 'I' WHEN '2' THEN 'Z' WHEN '3' THEN 'B' WHEN '5' THEN 'S' WHEN '6' THEN 'G' WHEN '8' THEN 'B' ELSE text END AS letters FROM signs")
 def unconfused(spark, d):
-    return labels_in(spark, d).select("region", text.unconfused(F.col("text")).alias("letters"))
+    return signs(spark, d).select("region", text.unconfused(F.col("text")).alias("letters"))
+
+
+@query("fn12_ambiguous", f"WITH {ONE_SIGN}, m AS (SELECT * FROM (VALUES ('O', '0 D Q'), ('0', 'O D Q'), ('S', '5 8'), ('5', 'S'), ('V', 'Y U'), ('Y', 'V'), ('I', '1 l'), ('1', 'I l'), ('Z', '2'), ('2', 'Z'), ('B', '8'), ('8', 'B'), ('G', '6 C'), ('6', 'G'), ('Q', 'O 0'), ('D', 'O 0')) v(k, v)) SELECT region, coalesce(v, '') AS others FROM signs LEFT JOIN m ON k = text")
+def ambiguous(spark, d):
+    return signs(spark, d).select("region", F.array_join(text.ambiguous(F.col("text")), " ").alias("others"))
+
+
+@query("fn12_confusable", f"WITH {ONE_SIGN}, m AS (SELECT * FROM (VALUES ('C', 'G O Q'), ('G', 'C 6'), ('O', 'Q D 0'), ('Q', 'O D'), ('I', 'L 1 l'), ('L', 'I 1'), ('S', '5 8'), ('Z', '2'), ('B', '8 13'), ('D', 'O 0'), ('U', 'V'), ('V', 'U Y'), ('M', 'N'), ('N', 'M')) v(k, v)) SELECT region, coalesce(v, '') AS others FROM signs LEFT JOIN m ON k = upper(text)")
+def confusable(spark, d):
+    return signs(spark, d).select("region", F.array_join(evidence.confusable(F.col("text")), " ").alias("others"))
 
 
 @query("fn14_confidence_scale", "SELECT p_partkey AS region, (p_size * 3 - 20) / 100.0 AS confidence FROM part WHERE p_size * 3 - 20 >= 0 AND trim(p_name) <> ''")
@@ -155,11 +176,21 @@ def resolved_ids(spark, d):
     return evidence.resolved_ids(ocr(spark, d)).drop("source")
 
 
-@query("ev12_unique_ids", f"{OCR_BEST} SELECT node_id, resolved_id IS NOT NULL AND row_number() OVER (PARTITION BY resolved_id ORDER BY confidence DESC, node_id) = 1 AS keeps_id FROM r")
+#: The fold over the holders of one id as a recursion; alternatives stand in order of confidence.
+UNIQUE = OCR_BEST.replace("WITH ocr", "WITH RECURSIVE ocr") + """, c AS (SELECT o.node_id // 40 AS network_id, o.node_id, r.resolved_id, r.status, coalesce(r.resolved_id, upper(o.raw)) AS claim, r.confidence,
+  CASE WHEN alt2 = '12' THEN [alt1] WHEN c1 >= c2 THEN [alt1, alt2] ELSE [alt2, alt1] END AS options FROM ocr o JOIN r USING (node_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY network_id, claim ORDER BY confidence DESC, node_id) AS k FROM c WHERE claim IS NOT NULL),
+f AS (SELECT network_id, claim, k, node_id, resolved_id, status, CASE WHEN resolved_id IS NULL THEN CAST([] AS VARCHAR[]) ELSE [resolved_id] END AS used FROM k WHERE k = 1
+  UNION ALL SELECT network_id, claim, k, node_id, pick, CASE WHEN pick IS NULL THEN 'REVIEW_REQUIRED' ELSE 'CONTEXTUALLY_RESOLVED' END, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+  FROM (SELECT f.network_id, f.claim, n.k, n.node_id, f.used, list_filter(n.options, lambda o: NOT list_contains(f.used, o))[1] AS pick FROM f JOIN k n ON n.network_id = f.network_id AND n.claim = f.claim AND n.k = f.k + 1))
+SELECT network_id, node_id, resolved_id, status FROM f UNION ALL SELECT network_id, node_id, resolved_id, status FROM c WHERE claim IS NULL"""
+
+
+@query("ev12_unique_ids", UNIQUE)
 def unique_ids(spark, d):
-    rows = ocr(spark, d)
-    resolved = evidence.resolved_ids(rows).join(rows.select("node_id", "seq", "confidence"), "node_id")
-    return evidence.unique_ids(resolved).select("node_id", "keeps_id")
+    rows = ocr(spark, d).withColumn("network_id", F.expr("node_id div 40"))
+    resolved = evidence.resolved_ids(rows).join(rows.select("network_id", "node_id", "seq", "raw", "confidence", "alternatives"), "node_id")
+    return evidence.unique_ids(resolved).select("network_id", "node_id", "resolved_id", "status")
 
 
 @query("ag25_resolution_counts", f"{OCR_BEST} SELECT status, count(*) AS n FROM r GROUP BY status")
@@ -397,13 +428,13 @@ def event_precedence(spark, d):
 @query("rp02_long_report", f"{CPM}, s AS (SELECT * FROM cpm) SELECT network_id, 'cpm' AS section, activity_id, name, regexp_replace(printf('%.6f', value), '\\.?0+$', '') AS value FROM (SELECT network_id, activity_id, 'early_start' AS name, early_start AS value FROM s UNION ALL SELECT network_id, activity_id, 'early_finish', early_finish FROM s UNION ALL SELECT network_id, activity_id, 'late_start', late_start FROM s UNION ALL SELECT network_id, activity_id, 'late_finish', late_finish FROM s UNION ALL SELECT network_id, activity_id, 'total_float', total_float FROM s UNION ALL SELECT network_id, activity_id, 'free_float', free_float FROM s)")
 def long_report(spark, d):
     acts, deps = nets(spark, d)
-    return report.long_form(schedule.fold_schedule(acts, deps), "cpm", ["early_start", "early_finish", "late_start", "late_finish", "total_float", "free_float"])
+    return report.long_form(schedule.schedule(acts, deps), "cpm", ["early_start", "early_finish", "late_start", "late_finish", "total_float", "free_float"])
 
 
 @query("ag28_report_summary", f"{CPM}, d AS (SELECT network_id, count(*) AS n FROM dependencies GROUP BY ALL) SELECT c.network_id, count(*) AS activity_count, coalesce(max(d.n), 0) AS dependency_count, max(project_duration) AS project_duration, count(*) FILTER (is_critical) AS critical_count FROM cpm c LEFT JOIN d USING (network_id) GROUP BY c.network_id")
 def report_summary(spark, d):
     acts, deps = nets(spark, d)
-    return report.summary(schedule.fold_schedule(acts, deps), deps)
+    return report.summary(schedule.schedule(acts, deps), deps)
 
 
 @query("sc06_csv_rows", f"WITH {NETWORKS}, p AS (SELECT network_id, target AS activity_id, string_agg(source, ' ' ORDER BY source) AS predecessors FROM dependencies GROUP BY ALL) SELECT a.network_id, a.activity_id, a.duration, coalesce(p.predecessors, '') AS predecessors FROM activities a LEFT JOIN p USING (network_id, activity_id)")
@@ -416,4 +447,4 @@ def csv_rows(spark, d):
 @query("jn21_results_table", f"{CPM}, p AS (SELECT network_id, target AS activity_id, string_agg(source, ' ' ORDER BY source) AS predecessors FROM dependencies GROUP BY ALL) SELECT c.network_id, c.activity_id, c.duration, c.early_start, c.late_finish, c.is_critical, coalesce(p.predecessors, '') AS predecessors FROM cpm c LEFT JOIN p USING (network_id, activity_id)")
 def results_table(spark, d):
     acts, deps = nets(spark, d)
-    return report.results(schedule.fold_schedule(acts, deps), deps).select("network_id", "activity_id", "duration", "early_start", "late_finish", "is_critical", F.array_join("predecessors", " ").alias("predecessors"))
+    return report.results(schedule.schedule(acts, deps), deps).select("network_id", "activity_id", "duration", "early_start", "late_finish", "is_critical", F.array_join("predecessors", " ").alias("predecessors"))

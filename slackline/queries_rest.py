@@ -105,12 +105,12 @@ def json_rows(spark, d):
 
 @query("ag02_critical_counts", f"{CPM} SELECT network_id, count(*) FILTER (is_critical) AS critical_count, count(*) FILTER (NOT is_critical) AS non_critical_count FROM cpm GROUP BY network_id")
 def critical_counts(spark, d):
-    return schedule.summary(schedule.fold_schedule(*nets(spark, d))).drop("project_duration")
+    return schedule.summary(schedule.schedule(*nets(spark, d))).drop("project_duration")
 
 
 @query("ag03_free_float", f"{CPM} SELECT network_id, activity_id, free_float FROM cpm")
 def free_float(spark, d):
-    return schedule.fold_schedule(*nets(spark, d)).select("network_id", "activity_id", "free_float")
+    return schedule.schedule(*nets(spark, d)).select("network_id", "activity_id", "free_float")
 
 
 @query("ag09_accuracy", f"WITH {NETWORKS}, m AS (SELECT network_id, count(*) AS n, count(*) FILTER (seq % 4 <> 0) AS tp FROM activities GROUP BY ALL) SELECT network_id, CASE WHEN network_id % 10 = 0 THEN 'UNCERTAIN' ELSE 'COMPLETE' END AS status, CASE WHEN network_id % 10 <> 0 THEN round_even((tp / n)::DOUBLE, 4) END AS recall FROM m")
@@ -164,7 +164,8 @@ def by_confidence(spark, d):
 
 
 @query("dd10_reciprocal_conflicts", f"""WITH {NETWORKS}, d AS (SELECT network_id, CASE WHEN (s + t) % 7 = 0 THEN target ELSE source END AS source, CASE WHEN (s + t) % 7 = 0 THEN source ELSE target END AS target FROM dependencies WHERE (s + t) % 5 <> 0 UNION ALL SELECT network_id, activity_id, 'N01' FROM activities WHERE seq = 4),
-u AS (SELECT DISTINCT network_id, source, target FROM d UNION SELECT network_id, source, target FROM dependencies) SELECT a.network_id, a.source, a.target FROM u a JOIN u b ON b.network_id = a.network_id AND b.source = a.target AND b.target = a.source""")
+u AS (SELECT network_id, source, target FROM d UNION SELECT network_id, source, target FROM dependencies), p AS (SELECT network_id, least(source, target) AS low, greatest(source, target) AS high FROM u GROUP BY ALL HAVING count(*) = 2)
+SELECT network_id, low AS source, high AS target FROM p UNION ALL SELECT network_id, high, low FROM p""")
 def reciprocal(spark, d):
     """Edges that stand in both directions: both need a review."""
     truth, found = detected_edges(spark, d)
@@ -258,7 +259,7 @@ def event_schedule(spark, d):
     """Activities on arrows as a network of activities, scheduled: here events form a chain, so the longest arrow of each step adds up."""
     a = arrows(spark, d)
     deps = report.event_precedence(a.withColumn("confidence", F.lit(1.0))).select("network_id", "source", "target")
-    return schedule.summary(schedule.fold_schedule(a.select("network_id", "activity_id", "seq", "duration"), deps)).select("network_id", "project_duration")
+    return schedule.summary(schedule.schedule(a.select("network_id", "activity_id", "seq", "duration"), deps)).select("network_id", "project_duration")
 
 
 # --- editing, reviews, reports ------------------------------------------------------------
@@ -296,13 +297,13 @@ def duration_decisions(spark, d):
 def corrections(spark, d):
     """Corrected first durations, and the analysis again without any detection."""
     acts, deps = nets(spark, d)
-    return schedule.summary(schedule.fold_schedule(acts.withColumn("duration", F.when(F.col("seq") == 1, F.col("duration") + 3).otherwise(F.col("duration"))), deps)).select("network_id", "project_duration")
+    return schedule.summary(schedule.schedule(acts.withColumn("duration", F.when(F.col("seq") == 1, F.col("duration") + 3).otherwise(F.col("duration"))), deps)).select("network_id", "project_duration")
 
 
 @query("rp01_report_sections", f"{CPM}, d AS (SELECT network_id, count(*) AS n FROM dependencies GROUP BY ALL), a AS (SELECT network_id, count(*) AS n, count(*) FILTER (is_critical) AS c FROM cpm GROUP BY ALL) SELECT network_id, 'activities' AS section, n AS rows FROM a UNION ALL SELECT network_id, 'dependencies', n FROM d UNION ALL SELECT network_id, 'cpm', c FROM a")
 def sections(spark, d):
     acts, deps = nets(spark, d)
-    s = report.summary(schedule.fold_schedule(acts, deps), deps)
+    s = report.summary(schedule.schedule(acts, deps), deps)
     cells = s.select("network_id", F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(c).alias("rows")) for n, c in (("activities", "activity_count"), ("dependencies", "dependency_count"), ("cpm", "critical_count"))])).alias("x"))
     return cells.select("network_id", "x.section", "x.rows").filter("rows > 0 or section <> 'dependencies'")
 

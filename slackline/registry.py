@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slackline import queries_association, queries_more, queries_networks, queries_pairing, queries_records, queries_rest, queries_spatial
+from slackline import queries_association, queries_interchange, queries_more, queries_networks, queries_pairing, queries_reconcile, queries_records, queries_rest, queries_spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (queries_networks, queries_spatial, queries_pairing, queries_association, queries_records, queries_more, queries_rest)
+MODULES = (queries_networks, queries_spatial, queries_pairing, queries_association, queries_records, queries_more, queries_rest, queries_interchange, queries_reconcile)
 
 
 def queries() -> dict[str, Query]:

@@ -51,3 +51,43 @@ def discover(spark: SparkSession, path: str, pattern: str = IMAGES) -> DataFrame
     """path, length and modificationTime of all files below a folder that match, sorted by path; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", "length", "modificationTime").orderBy("path")
+
+
+#: What an entry of a legacy list of activities may hold.
+LEGACY_ENTRY = "id string, activity_id string, duration string, position array<double>, bounding_box array<double>, bbox array<double>"
+
+
+def parse_legacy(rows: DataFrame, column: str = "json") -> DataFrame:
+    """rows (image_key, json text beside an image) of the older form, whose fields are all optional but dependencies.
+
+    image_key, error, diagram_type (upper case), activities array<struct<id, duration, position, bbox>>, edges
+    array<struct<source, target>>. Activities are a map by id or a list; durations, positions and bounding_boxes of the top level replace
+    those of the entries where they are present. error names what cannot be read; such rows have null fields."""
+    text = "map<string,string>"
+    top = rows.select("image_key", F.from_json(column, text).alias("t"), F.trim(F.col(column)).startswith("{").alias("is_object"))
+    get = lambda k: F.col("t")[k]
+    info = lambda v: F.from_json(v, LEGACY_ENTRY)
+    entry = lambda i, x: F.struct(i.alias("id"), x["duration"].try_cast("double").alias("duration"), x["position"].alias("position"), F.coalesce(x["bounding_box"], x["bbox"]).alias("bbox"))
+    listed = F.transform(F.from_json(get("activities"), "array<string>"), lambda v: entry(F.coalesce(info(v)["id"], info(v)["activity_id"]), info(v)))
+    mapped = F.transform(F.map_entries(F.from_json(get("activities"), text)), lambda e: entry(e["key"], info(e["value"])))
+    acts = F.when(F.trim(get("activities")).startswith("["), listed).otherwise(mapped)
+    pair, item = lambda v: F.from_json(v, "array<string>"), lambda v: F.from_json(v, "source string, source_id string, target string, target_id string")
+    edge = lambda v: F.when(v.startswith("["), F.when(F.size(pair(v)) == 2, F.struct(pair(v)[0].alias("source"), pair(v)[1].alias("target")))).otherwise(F.struct(F.coalesce(item(v)["source"], item(v)["source_id"]).alias("source"), F.coalesce(item(v)["target"], item(v)["target_id"]).alias("target")))
+    deps = F.transform(F.from_json(get("dependencies"), "array<string>"), edge)
+    out = top.select("image_key", "t", "is_object", acts.alias("a"), deps.alias("edges"), *[F.from_json(get(k), f"map<string,{kind}>").alias(k) for k, kind in (("durations", "double"), ("positions", "array<double>"), ("bounding_boxes", "array<double>"))])
+    error = (
+        F.when(~F.coalesce("is_object", F.lit(False)) | F.col("t").isNull(), "not an object")
+        .when(get("activities").isNotNull() & (F.col("a").isNull() | F.exists("a", lambda x: x["id"].isNull())), "activities")
+        .when(F.col("edges").isNull() | F.exists("edges", lambda e: e.isNull() | e["source"].isNull() | e["target"].isNull()), "dependencies")
+    )
+    own = lambda top_level, x, field: F.when(F.col(top_level).isNotNull(), F.col(top_level)[x["id"]]).otherwise(x[field])
+    merged = F.transform("a", lambda x: F.struct(x["id"].alias("id"), own("durations", x, "duration").alias("duration"), own("positions", x, "position").alias("position"), own("bounding_boxes", x, "bbox").alias("bbox")))
+    out = out.withColumn("error", error)
+    keep = lambda c: F.when(F.col("error").isNull(), c)
+    return out.select("image_key", "error", keep(F.upper(get("diagram_type"))).alias("diagram_type"), keep(merged).alias("activities"), keep(F.col("edges")).alias("edges"))
+
+
+def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """parse_legacy() of whole files; the key is a file's name without folder and ending."""
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    return parse_legacy(spark.read.text(path, wholetext=True).select(stem.alias("image_key"), F.col("value").alias("json")))

@@ -52,3 +52,44 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(activities: DataFrame, dependencies: DataFrame, path: str) -> None:
     to_json(activities, dependencies).select("json").write.mode("overwrite").text(path)
+
+
+# --- projects: a network with what is known about it ----------------------------------------
+
+INFO = "project_id string, name string, description string, created_at string, modified_at string, status string, metadata map<string,string>"
+#: What a project has that its document leaves out.
+DEFAULTS = {"project_id": "", "name": "Untitled Project", "description": "", "created_at": "", "modified_at": "", "status": "draft"}
+
+
+def projects_to_json(projects: DataFrame, activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """projects (network_id and fields of INFO) -> network_id and the project's document; a project without activities has no graph."""
+    known = [c.split(" ", 1)[0] for c in INFO.split(", ")]
+    info = F.struct(*[c for c in known if c in projects.columns])
+    graphs = to_json(activities, dependencies).withColumnRenamed("json", "graph")
+    rows = projects.select("network_id", F.to_json(info, {"ignoreNullFields": "true"}).alias("info")).join(graphs, "network_id", "left")
+    graph = F.coalesce(F.concat(F.lit(', "graph": '), "graph"), F.lit(""))
+    return rows.select("network_id", F.concat(F.lit('{"version": "'), F.lit(VERSION), F.lit('", "project_info": '), "info", graph, F.lit("}")).alias("json"))
+
+
+def parse_projects(rows: DataFrame, column: str = "json") -> DataFrame:
+    """rows (network_id, json) -> network_id, the project's fields with defaults, graph (JSON text or null) and error."""
+    top = F.from_json(column, "map<string,string>")
+    parsed = rows.select("network_id", top["project_info"].alias("p"), top["graph"].alias("graph")).withColumn("info", F.from_json("p", INFO))
+    error = F.when(F.col("p").isNull() | F.col("info").isNull(), "project_info")
+    fields = [F.coalesce(f"info.{c}", F.lit(v)).alias(c) for c, v in DEFAULTS.items()]
+    return parsed.select("network_id", *fields, F.col("info.metadata").alias("metadata"), "graph", error.alias("error"))
+
+
+def project_graphs(parsed: DataFrame) -> DataFrame:
+    """parse() of the graphs of projects that have one."""
+    return parse(parsed.filter("error is null and graph is not null").select("network_id", F.col("graph").alias("json")))
+
+
+def write_projects(projects: DataFrame, activities: DataFrame, dependencies: DataFrame, path: str) -> None:
+    projects_to_json(projects, activities, dependencies).select("json").write.mode("overwrite").text(path)
+
+
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """One document a line, as write_projects() leaves them; the key is the project's id."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("network_id"), F.col("value").alias("json"))
+    return parse_projects(rows)

@@ -31,7 +31,7 @@ def test_discovery(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a|b", 1, None)], "name string, n int, note string")
-    for kind in report_sinks.FORMATS:
+    for kind in report_sinks.WRITERS:
         assert report_sinks.export(rows, f"{tmp_path}/{kind}", kind)["ok"]
         assert report_sinks.export(rows, f"{tmp_path}/{kind}", kind, append=True)["ok"]
     assert spark.read.json(f"{tmp_path}/json").count() == 2 and spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
