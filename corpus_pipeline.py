@@ -7,7 +7,8 @@ read again as the next one's docs. Every row is decided by its own text, whether
 2. near_duplicates: one document of each near-duplicate component stays, the one with the smallest doc_id.
 3. decontamination: documents that hold a phrase of the benchmark go.
 4. mixing: sources stand at their target weights; those below them are repeated, none is cut.
-5. token_shards: token sequences at keyed random slots of binary shards; a row for each sequence.
+5. token_shards: token sequences at keyed random slots of binary shards; a row for each sequence. Repeats of a document go to
+   places of their own, so every stretch of slots holds the sources at their weights but for chance.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return training_order.training_shards(docs)
+    return training_order.training_shards(docs, spread=True)  # repeats that mixing made stand apart
 
 
 STAGES = [
