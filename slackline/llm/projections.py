@@ -1,25 +1,31 @@
-"""Near-duplicate embeddings by collision counts over one-dimensional projections.
+"""Near-duplicate embeddings by collision counts over sorted one-dimensional projections.
 
 Unit vectors whose cosine is at least 0.95 are at most sqrt(0.1) apart, so their projections on
 a Gaussian direction differ by a normal variable of at most that deviation. A pair collides on
-a projection when one's value lies in the window of half-width 1.9 deviations around the other's.
+a projection when one's place in its sorted order lies in the window of half-width 1.9 deviations around the other's value.
 Of 16 projections such a pair collides on at least ``COUNT`` (calibrated for a miss below
 1e-4); pairs that reach the count are verified by cosine in double precision.
 
-Equal vectors collapse to one. The rest is sorted by a further, leading projection into blocks
-of bounded size, and a vector meets only those within the leading window (4.5 deviations); a block pair
-counts its collisions, adds up links by vector and joins its links to trees, so tasks return rows in
+A window holds a fixed share of all vectors, so counting over one sorted order of everything would take quadratic work.
+Vectors are therefore dealt to groups first: a group is one cell of a grid over a few further projections, and there are
+several such tables, each with directions and offsets of its own. The numbers of directions and tables follow from the number
+of vectors: groups stay near GROUP vectors, and a pair at the limit meets in no table with a probability below 1e-4. A pair is
+counted in the first table in which it meets. Copies of a vector grow with the number of tables, some n ** 0.16.
+
+Equal vectors collapse to one. Groups of more than BLOCK vectors (dense regions) are dealt on to pairs of blocks, without loss;
+a block pair adds up links by vector and joins its links to trees, so tasks return rows in
 proportion to their vectors, whatever the number of links.
 
 Edge cases: null vectors, and those with null, NaN or infinite components, of norm zero or without
 components, link with nothing; vectors of other lengths do not link; a null vec_id
-links with nothing and is kept; rows with equal vec_id are one node; labels are ignored.
+links with nothing and is kept; rows with equal vec_id are one node; an empty table gives no rows; labels and other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +34,18 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
-from .tables import Scratch, table
+from .tables import Scratch, by_part, table
 
 COSINE = 0.95
 PROJECTIONS = 16
 MISS = 1e-4
 DEVIATION = math.sqrt(2 - 2 * COSINE)
 WINDOW = 1.9 * DEVIATION
-LEADING = 4.5 * DEVIATION
+#: Side of a grid cell; projections of unit vectors on Gaussian directions have deviation 1 where they are spread evenly.
+CELL = 2.5
+GROUP = 1024
 BLOCK = 4096
 QUERIES = 64
-COLUMNS = 2048
-#: Projections are compared in whole steps of 1 / STEPS.
-STEPS = 2048
 
 
 def calibrated_count(trials: int = PROJECTIONS, miss: float = MISS) -> int:
@@ -57,9 +62,29 @@ def calibrated_count(trials: int = PROJECTIONS, miss: float = MISS) -> int:
 COUNT = calibrated_count()
 
 
+def same_cell(deviation: float, side: float = CELL) -> float:
+    """Probability that two values, apart by a normal variable, share a cell of a grid with a random offset."""
+    r = side / deviation
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def grid(n: int, group: int = GROUP, miss: float = MISS) -> tuple[int, int]:
+    """Directions of a table and number of tables for n vectors."""
+    far, near = same_cell(math.sqrt(2)), same_cell(DEVIATION)
+    width = max(0, math.ceil(math.log(max(n, 1) / group) / -math.log(far)))
+    return width, 1 if not width else math.ceil(math.log(miss) / math.log(1 - near**width))
+
+
+@lru_cache(8)
 def directions(length: int) -> np.ndarray:
-    """The leading direction and PROJECTIONS others, the same in every task."""
-    return np.random.Generator(np.random.PCG64(length)).standard_normal((length, PROJECTIONS + 1))
+    """The PROJECTIONS directions whose windows are counted, the same in every task."""
+    return np.random.Generator(np.random.PCG64(length)).standard_normal((length, PROJECTIONS))
+
+
+@lru_cache(8)
+def grid_of(length: int, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64([length, width, tables]))
+    return rng.standard_normal((length, width * tables)), rng.uniform(0, CELL, width * tables)
 
 
 def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,67 +100,75 @@ def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = x / scale if np.isfinite(x).all() and scale > 0 else None
             out.append(None if x is None else (x / np.sqrt(x @ x)))
         size = [0 if x is None else len(x) for x in out]
-        lead = [0.0 if x is None else float(x @ directions_cache(len(x))[:, 0]) for x in out]
-        yield pa.RecordBatch.from_arrays([tb.column(batch, "vec_id"), pa.array(size, pa.int32()), pa.array(lead), pa.array([None if x is None else x.tobytes() for x in out], pa.binary())], ["vec_id", "length", "lead", "unit"])
+        yield pa.RecordBatch.from_arrays([tb.column(batch, "vec_id"), pa.array(size, pa.int32()), pa.array([None if x is None else x.tobytes() for x in out], pa.binary())], ["vec_id", "length", "unit"])
 
 
-_DIRECTIONS: dict[int, np.ndarray] = {}
+def cells(width: int, tables: int):
+    """Distinct vectors -> their cell in each table."""
 
-
-def directions_cache(length: int) -> np.ndarray:
-    if length not in _DIRECTIONS:
-        _DIRECTIONS[length] = directions(length)
-    return _DIRECTIONS[length]
-
-
-def collisions(left: np.ndarray, right: np.ndarray, lead_left: np.ndarray, lead_right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = tb.column(batch, "length").to_numpy()
+            units = tb.column(batch, "unit").to_pylist()
+            out = np.zeros((len(units), tables), np.uint64)
+            for size in np.unique(length).tolist():
+                at = np.flatnonzero(length == size)
+                x = np.frombuffer(b"".join(units[k] for k in at.tolist()), float).reshape(-1, size)
+                d, offset = grid_of(size, width, tables)
+                place = np.floor((x @ d + offset) / CELL).astype(np.int64).view(np.uint64).reshape(len(at), tables, width)
+                key = np.full((len(at), tables), size, np.uint64)
+                for k in range(width):
+                    key = tb.mix((key ^ place[:, :, k]) * tb.BASE + np.uint64(k + 1))
+                out[at] = key
+            offsets = np.arange(len(units) + 1, dtype=np.int32) * tables
+            lists = pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(tb.column(batch, c) for c in ("node", "n", "length", "unit")), lists], ["node", "n", "length", "unit", "cells"])
+
+    return run
+
+
+def collisions(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row of left, row of right) that collide on COUNT projections at least, for blocks of queries.
 
-    left, right: projections in whole steps, one row a projection; their columns are sorted by the leading one. The leading
-    window bounds the columns that a query meets; there its other windows are compared value by value,
-    which costs less than walking every projection's own sorted order."""
-    low = np.searchsorted(lead_right, lead_left - LEADING)
-    high = np.searchsorted(lead_right, lead_left + LEADING, side="right")
-    reach = np.int16(np.ceil(WINDOW * STEPS) + 1)
-    for a in range(0, left.shape[1], QUERIES):
-        b = min(a + QUERIES, left.shape[1])
-        first = max(int(low[a]), a + 1) if same else int(low[a])
-        for c in range(first, int(high[b - 1]), COLUMNS):
-            block = right[:, c : min(c + COLUMNS, int(high[b - 1]))]
-            counts = np.zeros((b - a, block.shape[1]), np.uint8)
-            apart = np.empty(counts.shape, np.int16)
-            for k in range(len(left)):
-                np.subtract(left[k, a:b, None], block[k], out=apart)
-                apart += reach
-                counts += (apart.view(np.uint16) <= 2 * int(reach)).view(np.uint8)
-            q, r = np.nonzero(counts >= COUNT)
-            yield q + a, r + c
-
-
-def in_steps(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Projections of unit vectors in steps of 1 / STEPS, clipped far outside where any lie; windows have a step to spare."""
-    return np.ascontiguousarray(np.clip(np.rint((x @ d).T * STEPS), -16000, 16000).astype(np.int16))
-
-
-def links_of_pair(node_a: np.ndarray, n_a: np.ndarray, x: np.ndarray, node_b: np.ndarray, n_b: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, links, label) for the linked vectors of a block pair."""
-    d = directions_cache(x.shape[1])
-    order_a, order_b = np.argsort(x @ d[:, 0], kind="stable"), np.argsort(y @ d[:, 0], kind="stable")
-    node_a, n_a, x, node_b, n_b, y = node_a[order_a], n_a[order_a], x[order_a], node_b[order_b], n_b[order_b], y[order_b]
-    found = []
-    for q, r in collisions(in_steps(x, d[:, 1:]), in_steps(y, d[:, 1:]), x @ d[:, 0], y @ d[:, 0], same):
+    Every projection of right is sorted; a query's window is the range of places between two binary searches in that
+    order, and a row of right collides when its place is in the range."""
+    low, wide, rank = [], [], []
+    for a, b in zip(left.T, right.T, strict=True):
+        order = np.argsort(b, kind="stable")
+        place = np.empty(len(b), np.uint16)
+        place[order] = np.arange(len(b), dtype=np.uint16)
+        begin = np.searchsorted(b[order], a - WINDOW)
+        rank.append(place)
+        low.append(begin.astype(np.uint16))
+        wide.append((np.searchsorted(b[order], a + WINDOW, side="right") - begin).astype(np.uint16))
+    for s in range(0, len(left), QUERIES):
+        counts = np.zeros((min(QUERIES, len(left) - s), len(right)), np.uint8)
+        for place, begin, size in zip(rank, low, wide, strict=True):
+            counts += ((place - begin[s : s + QUERIES, None]) < size[s : s + QUERIES, None]).view(np.uint8)
+        q, r = np.nonzero(counts >= COUNT)
+        yield q + s, r
+
+
+def links_of(node_a: np.ndarray, n_a: np.ndarray, x: np.ndarray, cells_a: np.ndarray, node_b: np.ndarray, n_b: np.ndarray, y: np.ndarray, cells_b: np.ndarray, turn: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, label) for the vectors of a group (or a pair of its blocks) that link and meet in no table before this one."""
+    d = directions(x.shape[1])
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for q, r in collisions(x @ d, y @ d):
         if same:
             q, r = q[q < r], r[q < r]
         for s in range(0, len(q), 100_000):
             i, j = q[s : s + 100_000], r[s : s + 100_000]
             good = np.einsum("ij,ij->i", x[i], y[j]) >= COSINE
-            found.append((i[good], j[good]))
-    i, j = (np.concatenate(f) if found else np.zeros(0, np.int64) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            i, j = i[good], j[good]
+            fresh = ~(cells_a[i, :turn] == cells_b[j, :turn]).any(1)
+            found_i.append(i[fresh])
+            found_j.append(j[fresh])
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
     nodes, at = np.unique(np.concatenate([node_a[i], node_b[j]]), return_inverse=True)
     u, v = at[: len(i)], at[len(i) :]
     links = np.bincount(u, n_b[j], len(nodes)) + np.bincount(v, n_a[i], len(nodes))
     label = np.arange(len(nodes))
-    while True:  # smallest place reachable within this block pair
+    while True:  # smallest place reachable within this group
         low = label.copy()
         np.minimum.at(low, u, label[v])
         np.minimum.at(low, v, label[u])
@@ -146,62 +179,43 @@ def links_of_pair(node_a: np.ndarray, n_a: np.ndarray, x: np.ndarray, node_b: np
 
 
 def count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pair, same, side, length, node, n, unit) sorted by pair -> partial links and labels."""
-    from .suffixes import by_part
-
-    for _, rows in by_part(batches, "pair"):
+    """Rows (turn, cell, length, i, j, side, node, n, unit, cells), sorted by the first five -> partial links and labels."""
+    for (turn, _, length, i, j), rows in by_part(batches, "turn", "cell", "length", "i", "j"):
         node, n, side = (rows[c].to_numpy() for c in ("node", "n", "side"))
-        same = bool(rows["same"][0].as_py())
-        x = np.frombuffer(b"".join(rows["unit"].to_pylist()), float).reshape(len(node), -1)
         a = side == 0
-        b = a if same else ~a
-        if not a.any() or not b.any():
+        b = a if i == j else ~a
+        if not a.any() or not b.any() or len(node) < 2:
             continue
-        nodes, links, label = links_of_pair(node[a], n[a], x[a], node[b], n[b], x[b], same)
+        x = np.frombuffer(b"".join(rows["unit"].to_pylist()), float).reshape(-1, length)
+        own = rows["cells"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        nodes, links, label = links_of(node[a], n[a], x[a], own[a], node[b], n[b], x[b], own[b], turn, i == j)
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(label)], ["node", "links", "label"])
 
 
-def block_pairs(units: DataFrame) -> DataFrame:
-    """units (length, lead, node, n, unit) dealt to pairs of leading-projection blocks within the leading window."""
-    total = units.count()
-    blocks = max(1, -(-total // BLOCK))
-    cuts = units.approxQuantile("lead", [k / blocks for k in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
-    cuts = np.unique(np.array(cuts, float))
-    low, high = np.concatenate([[-np.inf], cuts]), np.concatenate([cuts, [np.inf]])
-    # block i meets i..last[i]; the sorted cuts make that a range
-    last = np.searchsorted(low, high + LEADING, side="right") - 1
-    first = np.searchsorted(high, low - LEADING, side="left")
+def dealt_to_groups(known: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """A row for each vector and table, and for each block pair of a group with more than block vectors."""
+    group = ["turn", "cell", "length"]
+    members = known.select("length", F.posexplode("cells").alias("turn", "cell"), "node", "n", "unit", "cells")
+    large = scratch.save(members.groupBy(*group).count().filter(F.col("count") > block).select(*group, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
+    placed = members.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    spread = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return spread.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "unit", "cells")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = np.searchsorted(cuts, tb.column(batch, "lead").to_numpy(), side="right")
-            length = tb.column(batch, "length").to_numpy().astype(np.int64)
-            own, pair, side = [], [], []
-            for k, i in enumerate(block.tolist()):
-                for j in range(first[i], last[i] + 1):
-                    own.append(k)
-                    pair.append((length[k] * (len(cuts) + 1) + min(i, j)) * (len(cuts) + 1) + max(i, j))
-                    side.append(0 if i <= j else 1)
-            own, pair, side = np.array(own, np.int64), np.array(pair, np.int64), np.array(side, np.int32)
-            for s in range(0, len(own), 20_000):
-                rows = batch.take(pa.array(own[s : s + 20_000]))
-                p = pair[s : s + 20_000]
-                same = p % (len(cuts) + 1) == p // (len(cuts) + 1) % (len(cuts) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(same), pa.array(side[s : s + 20_000]), tb.column(rows, "node"), tb.column(rows, "n"), tb.column(rows, "unit")], ["pair", "same", "side", "node", "n", "unit"])
-
-    return units.mapInArrow(deal, "pair long, same boolean, side int, node long, n long, unit binary")
-
-
-def near_duplicates(vectors: DataFrame) -> DataFrame:
+
+def near_duplicates(vectors: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable) and kept, a row a vector."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "projections")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    units = scratch.save(rows.mapInArrow(unit_vectors, "vec_id long, length int, lead double, unit binary"), "units")
+    units = scratch.save(rows.mapInArrow(unit_vectors, "vec_id long, length int, unit binary"), "units")
     usable = units.filter("unit is not null and vec_id is not null")
-    classes = scratch.save(usable.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("length").alias("length")), "classes")
-    dealt = block_pairs(classes).repartition(tasks, "pair").sortWithinPartitions("pair")
+    classes = scratch.save(usable.groupBy("unit", "length").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
+    width, tables = grid(classes.count(), group)
+    # written, not computed again: a vector's cells must be the same wherever they are compared
+    known = scratch.save(classes.mapInArrow(cells(width, tables), "node long, n long, length int, unit binary, cells array<long>"), "cells")
+    by_group = ("turn", "cell", "length", "i", "j")
+    dealt = dealt_to_groups(known, scratch, block).repartition(tasks, *by_group).sortWithinPartitions(*by_group)
     found = scratch.save(dealt.mapInArrow(count_links, "node long, links long, label long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), scratch, "labels")
