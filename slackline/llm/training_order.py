@@ -40,7 +40,7 @@ SEQUENCE = 2048
 END, PAD = 50256, 65535
 KEY = 20240607
 ROUNDS = 6
-RANGE_BYTES = 1_000_000
+RANGE_BYTES = 4_000_000
 LEAST_RANGES = 512
 #: Text for each shuffle partition, where spark.sql.shuffle.partitions has fewer.
 TASK_BYTES = 64_000_000
@@ -179,9 +179,10 @@ def place(n: int, shard_rows: int, key: int):
     """Numbered sequences -> their slots and shards; tokens are compressed for the shuffle, while the table before it packs many together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             slot = slots(tb.column(batch, "number").to_numpy(), n, key)
-            tokens = pa.array([pa.compress(t, "zstd", asbytes=True) for t in tb.column(batch, "tokens").to_pylist()], pa.binary())
+            tokens = pa.array([codec.compress(t, asbytes=True) for t in tb.column(batch, "tokens").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), tokens, tb.column(batch, "n_tokens"), tb.column(batch, "doc_ids")], ["shard", "slot", "tokens", "n_tokens", "doc_ids"])
 
     return run
