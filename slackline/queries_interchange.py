@@ -9,7 +9,7 @@ from slackline.operators import construct, report
 from slackline.plans import derived, settings
 from slackline.plans.derived_sql import ACTIVITIES, NETWORKS
 from slackline.queries_networks import CPM, nets
-from slackline.sources import annotations, csv_networks, json_networks
+from slackline.sources import annotations, csv_networks, images, json_networks
 
 QUERIES: dict = {}
 
@@ -109,6 +109,50 @@ def legacy_annotations(spark, d):
     return rows.select("image_key", "error", "diagram_type", F.when(known, F.size("activities").cast("long")).alias("activities"), total.alias("duration"), F.array_max(F.transform("activities", lambda a: a["position"][0])).alias("reach"), F.when(known, F.size("edges").cast("long")).alias("edges"))
 
 
+def annotation_documents(spark, d):
+    """Annotations of version 1.0: edges in three ways, one of them uncertain, boxes instead of positions for even places, one uncertain activity."""
+    acts, deps = nets(spark, d)
+    k, s = F.col("network_id"), F.col("seq")
+    box = F.when(s % 2 == 0, F.array(s * 10.0, s * 5.0, F.lit(4.0), F.lit(2.0)))
+    entry = F.struct(F.col("activity_id").alias("id"), "duration", F.when(s % 2 == 1, F.array(s * 10.0, s * 5.0)).alias("position"), F.when(k % 2 == 0, box).alias("bbox"), F.when(k % 2 == 1, box).alias("bounding_box"))
+    a = acts.groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.to_json(entry).alias("e")))).alias("a"))
+    pair = lambda x, y: F.to_json(F.struct(F.col("source").alias(x), F.col("target").alias(y)))
+    edge = F.when(k % 3 == 0, F.to_json(F.array("source", "target"))).when(k % 3 == 1, pair("source", "target")).otherwise(pair("source_id", "target_id"))
+    e = deps.groupBy("network_id").agg(F.array_sort(F.collect_list(edge)).alias("e"))
+    joined = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    edges = joined(F.coalesce("e", F.array().cast("array<string>")))
+    doc = F.concat(F.lit('{"schema_version":"1.0","annotation_status":"COMPLETE","activities":'), joined(F.col("a.e")), F.lit(',"dependencies":'), edges, F.lit(',"uncertain":{"activities":["N03"],"events":[],"dependencies":["[\\"N01\\",\\"N02\\"]"]}}'))
+    return a.join(e, "network_id", "left").select(k.cast("string").alias("image_key"), doc.alias("json"))
+
+
+@query("sc12_annotation_activities", f"WITH {ACTIVITIES} SELECT CAST(network_id AS VARCHAR) AS image_key, activity_id AS id, duration, CASE WHEN seq % 2 = 1 THEN seq * 10.0 ELSE seq * 10.0 + 2 END::DOUBLE AS cx, CASE WHEN seq % 2 = 1 THEN seq * 5.0 ELSE seq * 5.0 + 1 END::DOUBLE AS cy FROM activities WHERE activity_id <> 'N03'")
+def annotation_activities(spark, d):
+    rows = annotations.activities(annotations.parse(annotation_documents(spark, d)))
+    return rows.select("image_key", "id", "duration", F.get("center", 0).alias("cx"), F.get("center", 1).alias("cy"))
+
+
+@query("sc12_annotation_edges", f"WITH {NETWORKS} SELECT CAST(network_id AS VARCHAR) AS image_key, source, target FROM dependencies WHERE NOT (source = 'N01' AND target = 'N02')")
+def annotation_edges(spark, d):
+    return annotations.edges(annotations.parse(annotation_documents(spark, d))).select("image_key", "source", "target")
+
+
+@query("sc20_image_checks", """WITH i AS (SELECT p_partkey, p_size * 450 - 400 AS w, (p_partkey * 7) % 300 AS h FROM part), b AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 <> 4 THEN ['png', 'gif', 'bmp', 'jpeg'][CAST(p_partkey % 5 + 1 AS INTEGER)] END AS format, CASE WHEN p_partkey % 5 <> 4 THEN greatest(w, 0) END AS width, CASE WHEN p_partkey % 5 <> 4 THEN h END AS height FROM i)
+SELECT path, format, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CASE WHEN width IS NULL THEN 'unreadable' WHEN least(width, height) = 0 THEN 'zero dimension' WHEN least(width, height) < 10 THEN 'too small' WHEN greatest(width, height) > 20000 THEN 'too large' END AS problem FROM b""")
+def image_checks(spark, d):
+    """Headers of four formats, and bytes of none, for each part."""
+    k = F.col("p_partkey")
+    rows = derived.read(spark, d, "part").select(k, F.greatest(F.col("p_size") * 450 - 400, F.lit(0)).cast("int").alias("w"), ((k * 7) % 300).cast("int").alias("h"))
+    big = lambda c, n: F.lpad(F.hex(F.col(c)), n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), n - 1 - 2 * i, 2) for i in range(n // 2)])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big("w", 8), big("h", 8))
+    gif = F.concat(F.lit("474946383961"), little("w", 4), little("h", 4))
+    bmp = F.concat(F.lit("424D" + "00" * 16), little("w", 8), little("h", 8))
+    jpeg = F.concat(F.lit("FFD8FFE000040000FFC0001108"), big("h", 4), big("w", 4))
+    kind = k % 5
+    content = F.unhex(F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, bmp).when(kind == 3, jpeg).otherwise("0102"))
+    return images.checked(rows.select(k.cast("string").alias("path"), content.alias("content")))
+
+
 # --- bulk construction --------------------------------------------------------------------
 
 

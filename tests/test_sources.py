@@ -3,7 +3,7 @@
 import json
 
 from slackline.operators import review
-from slackline.sources import annotations, report_sinks
+from slackline.sources import annotations, images, report_sinks
 
 
 def test_annotations(spark, tmp_path):
@@ -55,3 +55,13 @@ def test_applied_reviews(spark):
     assert issues.count() == 0
     twice = log.withColumn("corrected_value", F.when(F.col("item_id") == "n:B", "A"))
     assert [(r.code, r.element) for r in review.apply(acts, deps, twice, edge_log)[2].collect()] == [("duplicate_activity_id", "A")]
+
+
+def test_images(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc4\0\x02\xff\xc2\0\x11\x08" + (9).to_bytes(2, "big") + (700).to_bytes(2, "big")
+    (tmp_path / "deep").mkdir()
+    for name, data in {"a.png": png, "deep/b.JPG": jpeg, "c.gif": b"GIF89a\x01", "d.txt": png, "e.bmp": b"BM"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.width, r.height, r.problem) for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": ("png", 640, 480, None), "b.JPG": ("jpeg", 700, 9, "too small"), "c.gif": (None, None, None, "unreadable"), "e.bmp": (None, None, None, "unreadable")}
