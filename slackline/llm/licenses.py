@@ -7,7 +7,9 @@ and gap -1) compares with the template. Regions that match at least ``COVERAGE``
 words are reported with coverage and byte span; hits inside them need no alignment of their own. Of
 templates that claim the same words the one that covers most of them is reported.
 
-Edge cases: null or empty text has no notices; texts of any length are scanned whole; a notice
+Words are compared by 64-bit hashes of their bytes.
+
+Edge cases: null or empty text has no notices; an empty table gives no rows; texts of any length are scanned whole; a notice
 that stands several times is reported each time; of equal spans the template with the higher coverage, then
 the first name is reported; repeated documents each keep their row; other columns are ignored.
 """
@@ -138,16 +140,16 @@ def notices(index: Index, words: np.ndarray, places: np.ndarray, entries: np.nda
     out = []
     for t, found in hits.items():
         template = index.words[t]
-        found.sort()
-        while found:
-            diagonal = found[0][0]
-            band = band_of(len(template))
+        band, passed, claimed = band_of(len(template)), -math.inf, np.zeros(len(words), bool)
+        for diagonal, place in sorted(found):
+            if diagonal <= passed or claimed[place]:
+                continue
             matched, first, last = banded_alignment(template, words, diagonal, band) if reachable(template, words, diagonal, band) else (0, 0, 0)
             if matched >= COVERAGE * len(template):
                 out.append((index.names[t], matched / len(template), first, last, matched))
-                found = [h for h in found[1:] if not first <= h[1] < last]
+                claimed[first:last] = True
             else:  # nor do its near diagonals: the band held them too
-                found = [h for h in found[1:] if h[0] > diagonal + band // 2]
+                passed = diagonal + band // 2
     return best_of_overlapping(out)
 
 

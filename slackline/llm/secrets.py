@@ -3,11 +3,12 @@
 Three base kinds come from patterns (assign, access, hex). The fourth, guess, looks at values
 that stand after a credential word and an assignment sign: the cheapest way to guess the value
 is found by dynamic programming over its segmentations into dictionary words (with capitals
-and letter substitutions), dates, repeats, keyboard walks, sequences and brute-force spans. A
-value whose cost is at least ``STRONG`` guesses (log 10) is a secret and adds its span; cheap
+and letter substitutions), dates, repeats, keyboard walks, sequences and brute-force spans. Words are a short list of
+those that people put in passwords, and after them the whole words of a public tokeniser's vocabulary file, by rank. A
+value whose cost is at least ``STRONG`` (log 10 of guesses: out of reach of slow offline guessing) is a secret and adds its span; cheap
 ones, such as words, dates and placeholders, add nothing. Base spans always stay.
 
-Edge cases: null is empty text without spans; texts of any length are scanned whole; spans
+Edge cases: null is empty text without spans; an empty table gives no rows; a null doc_id keeps its row; texts of any length are scanned whole; spans
 count code points, end exclusive, and may overlap between kinds; repeated documents each
 keep their row; other columns are ignored.
 """
@@ -15,6 +16,7 @@ keep their row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -34,12 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["'\]]*\s*(?::=|=>|[:=]|\bis\b)\s*["'`]?([^\s"'`<>,;]{6,})""", re.ASCII)
+#: A credential word with its suffixes, an assignment sign and perhaps a scheme, or a scheme alone; then a quoted value or a bare one.
+WORD = r"""pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|api[_-]?key|access[_-]?key|private[_-]?key"""
+CONTEXT = re.compile(rf"""(?:(?i:(?:{WORD})(?:[_-][a-z0-9]{{1,20}}){{0,3}})["'\]]*\s*(?::=|=>|[:=]|\bis\b)\s*(?i:(?:bearer|basic)\s+)?|\b(?i:bearer)\s+)(?:"([^"\n]{{6,}})"|'([^'\n]{{6,}})'|`([^`\n]{{6,}})`|["'`]?([^\s"'`<>,;]{{6,}}))""", re.ASCII)
 NEEDLES = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"bearer", b"key")
 STRONG = 10.0
 SHORTEST_VALUE = 6
-#: Walks and sequences longer than a keyboard has keys go on as further segments.
-LONGEST_RUN = 36
 
 # Words that people put in passwords, commonest first.
 COMMON = (
@@ -59,7 +61,28 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 SUBSTITUTES = str.maketrans("0134578@$!|+", "oleastbasilt")
 KEY_AT = {c: (r, k) for r, row in enumerate(KEY_ROWS) for k, c in enumerate(row)}
 DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d))")
-LONGEST_WORD = max(map(len, COMMON))
+#: Longer words of a vocabulary are not looked up; none of those files' words is a common password.
+LONGEST_WORD = 24
+#: log10 of the choices at each step of a keyboard walk.
+STEP = math.log10(1.6)
+#: Repeats of longer periods and longer walks cost STRONG or more by themselves, so no decision depends on them.
+LONGEST_PERIOD = math.ceil(STRONG) - 1
+LONGEST_WALK = math.ceil((STRONG - math.log10(len(KEY_AT)) - math.log10(2)) / STEP) + 1
+
+
+@lru_cache(2)
+def ranked_words(vocabulary: str | None) -> dict[str, int]:
+    """Ranks of COMMON, then of the whole words of a vocabulary file (a BPE model with word ends, whose ids rise as words get rarer)."""
+    ranks = dict(RANK)
+    if vocabulary:
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model["end_of_word_suffix"]
+        words = sorted((i, w[: -len(end)]) for w, i in model["vocab"].items() if w.endswith(end))
+        for _, word in words:
+            if word.isascii() and word.isalpha() and 3 <= len(word) <= LONGEST_WORD:
+                ranks.setdefault(word, len(ranks) + 1)
+    return ranks
 
 
 def alphabet(c: str) -> int:
@@ -96,8 +119,8 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_
             best[j], came[j] = total, (kind, i, j)
 
     # how far the value goes on repeating itself with each period
-    reach = [[0] * (n + 9) for _ in range(9)]
-    for period in range(1, 9):
+    reach = [[0] * (n + LONGEST_PERIOD + 1) for _ in range(LONGEST_PERIOD + 1)]
+    for period in range(1, LONGEST_PERIOD + 1):
         row = reach[period]
         for i in range(n - period - 1, -1, -1):
             row[i] = row[i + 1] + 1 if value[i] == value[i + period] else 0
@@ -109,20 +132,21 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_
         for j in range(i + 4, min(n, i + 10) + 1):
             if DATE.fullmatch(value, i, j):
                 offer("date", i, j, math.log10(366 * 120) if j - i > 4 else math.log10(120))
-        for period in range(1, min(8, (n - i) // 2) + 1):
+        for period in range(1, min(LONGEST_PERIOD, (n - i) // 2) + 1):
             times = reach[period][i] // period + 1
-            if times >= 2 and times * period >= 3:
+            if times >= 2:
                 unit = sum(math.log10(alphabet(c)) for c in value[i : i + period])
-                for t in {times, *(2**k for k in range(1, times.bit_length()))}:  # all of them, or a power of two
+                # a next segment can only claim the last copies of a long run
+                for t in range(2 if period > 1 else 3, times + 1) if times <= 256 else (*range(2, 65), *range(times - 191, times + 1)):
                     offer("repeat", i, i + t * period, unit + math.log10(t))
         j = i + 1
-        while j < min(n, i + LONGEST_RUN) and neighbours(low[j - 1], low[j]):
+        while j < min(n, i + LONGEST_WALK) and neighbours(low[j - 1], low[j]):
             j += 1
             if j - i >= 3:
-                offer("walk", i, j, math.log10(len(KEY_AT)) + math.log10(2) + (j - i - 1) * math.log10(1.6))
+                offer("walk", i, j, math.log10(len(KEY_AT)) + math.log10(2) + (j - i - 1) * STEP)
         for delta in (1, -1):
             j = i + 1
-            while j < min(n, i + LONGEST_RUN) and ord(low[j]) - ord(low[j - 1]) == delta:
+            while j < n and ord(low[j]) - ord(low[j - 1]) == delta:
                 j += 1
                 if j - i >= 3:
                     offer("sequence", i, j, math.log10(alphabet(low[i])) + math.log10(2 * (j - i)))
@@ -142,7 +166,9 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, longest: int = LONGEST_
     return best[n], segments[::-1]
 
 
-cost_of = lru_cache(100_000)(lambda value: guess_cost(value)[0])
+@lru_cache(100_000)
+def cost_of(value: str, vocabulary: str | None = None) -> float:
+    return guess_cost(value, ranked_words(vocabulary))[0]
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -151,12 +177,13 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
 
 
-def guess_spans(text: str) -> list[tuple[int, str, int]]:
+def guess_spans(text: str, vocabulary: str | None = None) -> list[tuple[int, str, int]]:
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".)]}:!?")
-        if len(value) >= SHORTEST_VALUE and cost_of(value) >= STRONG:
-            out.append((m.start(1), "guess", m.start(1) + len(value)))
+        value = m[m.lastindex]
+        value = value.rstrip(".)]}:!?") if m.lastindex == 4 else value
+        if len(value) >= SHORTEST_VALUE and cost_of(value, vocabulary) >= STRONG:
+            out.append((m.start(m.lastindex), "guess", m.start(m.lastindex) + len(value)))
     return out
 
 
@@ -183,7 +210,11 @@ def candidates(block: tb.Block) -> np.ndarray:
     return np.unique(np.concatenate([np.array(places, np.int64), long]))
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scan(vocabulary: str | None):
+    return lambda batches: scanned(batches, vocabulary)
+
+
+def scanned(batches: Iterator[pa.RecordBatch], vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     for block in tb.blocks(batches):
         n = len(block.starts)
@@ -191,7 +222,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, spans = [nothing] * n, [""] * n
         for k in candidates(block).tolist():
             text = block.data[block.starts[k] : block.ends[k]].tobytes().decode("utf-8", "replace")
-            base, more = base_spans(text), guess_spans(text)
+            base, more = base_spans(text), guess_spans(text, vocabulary)
             for _, kind, _ in base + more:
                 counts[kind][k] += 1
             digests[k] = hashlib.sha256(joined(base).encode()).hexdigest()
@@ -202,11 +233,13 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """One row a document: counts by kind, the digest of its base spans, and all spans."""
+def secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row a document: counts by kind, the digest of its base spans, and all spans. vocabulary: a file of ranked words on every executor."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
-    return texts_of(docs).mapInArrow(scan, schema)
+    return texts_of(docs).mapInArrow(scan(vocabulary), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+    import public_tokenizers
+
+    return secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")

@@ -10,7 +10,8 @@
    model is fitted on at most SAMPLE labelled documents outside the held-out fold, the ones
    with the smallest hash of doc_id; everything else covers all data.
 
-Edge cases: null is empty text, which gets the score of a document without features; rows
+Edge cases: null is empty text, which gets the score of a document without features; an empty table gives no rows; a
+null doc_id has a null held_out; rows with equal doc_id are scored each; very long texts are a block of their own; rows
 of ``labels`` with a null label or id are not used; repeated label rows of a document
 count as often as they stand there; without toxic labels every score is near 0; other columns
 are ignored, and neither lang, source nor doc_id is part of a score.
@@ -34,7 +35,10 @@ from . import textblocks as tb
 from .tables import Scratch, rows_of, table, texts_of
 
 SAMPLE = 20_000
+#: Feature selection, part of fitting on the sample: at most FEATURES of those that LEAST_TOXIC toxic documents hold, LEAST_LIFT times
+#: as often as clean ones, with a gain (documents times log lift) of LEAST_GAIN.
 FEATURES = 4096
+LEAST_TOXIC, LEAST_LIFT, LEAST_GAIN = 3, 4, 8
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 SYMBOLS = 28
@@ -43,7 +47,6 @@ RANGES = 64
 TASKS_A_SUM = 256
 #: Tokens up to this length are remembered; longer ones are decoded each time.
 LONGEST_CACHED = 64
-BEAM = 48
 
 # What a writer may put for a letter.
 LEET = {
@@ -161,8 +164,6 @@ class Decoder:
         for place, arcs in enumerate(self.lattice(token, spaced)):
             beam = beams[place]
             beams[place] = None
-            if len(beam) > BEAM:
-                beam = dict(sorted(beam.items(), key=lambda x: -x[1][0])[:BEAM])
             if spaced and place:
                 for (a, b, c), (score, made) in list(beam.items()):
                     s = score + WORD_END + float(log_p[a, b, c, 0])
@@ -189,19 +190,18 @@ class Decoder:
         return "".join(reversed(pieces))
 
     def any_letter(self, beam: dict, channel: float, fresh: dict) -> None:
-        """The best states after one more letter of any kind."""
+        """The best way into every state after one more letter of any kind."""
         states = list(beam)
         a, b, c = np.array(states).reshape(-1, 3).T
-        scores = self.log_p[a, b, c, 1:27] + np.array([beam[x][0] + channel for x in states])[:, None]
-        found = 0
-        for at in np.argsort(-scores, axis=None, kind="stable").tolist():
+        scores = (self.log_p[a, b, c, 1:27] + np.array([beam[x][0] + channel for x in states])[:, None]).reshape(-1)
+        into = ((b * SYMBOLS + c)[:, None] * SYMBOLS + np.arange(1, 27)).reshape(-1)
+        order = np.lexsort((-scores, into))
+        first = np.concatenate([[True], into[order][1:] != into[order][:-1]])
+        for at in order[first].tolist():
             k, d = divmod(at, 26)
-            state, s = (*states[k][1:], d + 1), float(scores[k, d])
+            state, s = (*states[k][1:], d + 1), float(scores[at])
             if s > fresh.get(state, (-math.inf,))[0]:
                 fresh[state] = (s, (beam[states[k]][1], chr(97 + d)))
-                found += 1
-                if found == BEAM:
-                    break
 
     def restored(self, text: str) -> list[str]:
         """The words restored from a lower-case text's obfuscated tokens."""
@@ -354,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, log_p, sample: int = SAMPLE) -> Mo
     if not total.toxic or total.toxic == total.n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 20.0 if total.toxic else -20.0)
     lift = (F.col("toxic") + 0.5) / (total.toxic + 1) / ((F.col("clean") + 0.5) / (total.n - total.toxic + 1))
-    few = counted.filter("toxic >= 3").withColumn("gain", F.col("toxic") * F.log(lift)).filter((lift > 4) & (F.col("gain") > 8)).orderBy(F.desc("gain"), "feature").limit(FEATURES)
+    few = counted.filter(F.col("toxic") >= LEAST_TOXIC).withColumn("gain", F.col("toxic") * F.log(lift)).filter((lift > LEAST_LIFT) & (F.col("gain") > LEAST_GAIN)).orderBy(F.desc("gain"), "feature").limit(FEATURES)
     names = np.sort(np.array([r.feature for r in few.select("feature").collect()], np.int64).view(np.uint64))
     held = picked.mapInArrow(held_features(log_p, names), "toxic int, held array<int>").collect()  # a row for each sampled document
     model = fit([(r.toxic, list(r.held)) for r in sorted(held, key=lambda r: (r.toxic, r.held))], names)

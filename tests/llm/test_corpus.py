@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -222,6 +223,96 @@ def test_secrets(spark):
     assert kinds == ["word", "date", "repeat"]
 
 
+def test_guess_cost_by_exhaustion():
+    """Every segmentation of short values, each segment by its cheapest kind."""
+    rng = random.Random(9)
+    log = math.log10
+
+    def brute(v):
+        return sum(log(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in v)
+
+    def cheapest(v):
+        low, n, costs = v.lower(), len(v), []
+        word = secrets.word_cost(v, secrets.RANK) if n >= 2 else None
+        costs += [] if word is None else [word]
+        if 4 <= n <= 10 and secrets.DATE.fullmatch(v):
+            costs.append(log(366 * 120) if n > 4 else log(120))
+        costs += [brute(v[:p]) + log(n // p) for p in range(1, n // 2 + 1) if n % p == 0 and n >= 3 and v == v[:p] * (n // p)]
+        if n >= 3 and all(secrets.neighbours(a, b) for a, b in zip(low, low[1:])):
+            costs.append(log(len(secrets.KEY_AT)) + log(2) + (n - 1) * log(1.6))
+        if n >= 3 and len({ord(b) - ord(a) for a, b in zip(low, low[1:])}) == 1 and abs(ord(low[1]) - ord(low[0])) == 1:
+            costs.append(log(10 if low[0].isdigit() else 26 if low[0].isalpha() else 33) + log(2 * n))
+        return min(costs, default=math.inf)
+
+    def exhaustive(v):
+        n = len(v)
+        best = math.inf
+        for cuts in range(2 ** (n - 1)):
+            edge = [0, *(k for k in range(1, n) if cuts >> (k - 1) & 1), n]
+            total = 0.0
+            for a, b in zip(edge, edge[1:]):
+                total += min(cheapest(v[a:b]) + (log(2) if a else 0), brute(v[a:b]) if b - a == 1 else math.inf)
+            best = min(best, total)
+        return best
+
+    pieces = ["pass", "Abc", "qwe", "1999", "aaa", "xyxy", "321", "red", "$", "7", "k", "asdf", "P@ss", "0312"]
+    values = ["".join(rng.choice(pieces) for _ in range(3))[:9] for _ in range(60)] + ["aaaapple", "redred1", "abcdefgh", "zxcvbnm1"]
+    for v in values:
+        assert abs(secrets.guess_cost(v)[0] - exhaustive(v)) < 1e-9, v
+
+
+def test_values_of_credentials(spark):
+    strong = "q8Zk2Lr9xWt4vB"
+    texts = [f"Authorization: Bearer {strong}", f"secret_key = {strong}", f'passphrase: "{strong[:7]} {strong[7:]}"', f"bearer {strong}.", f"the token is {strong}", "password: letmein2024", "secret: changeme", f"note {strong}"]
+    got = {r.doc_id: r.spans for r in secrets.secrets(table(spark, list(enumerate(texts)))).collect()}
+    for i in range(5):
+        spans = [s for s in got[i].split(",") if s.startswith("guess")]
+        assert len(spans) == 1 and strong[:7] in texts[i][slice(*map(int, spans[0].split(":")[1:]))], (i, got[i])
+    assert all("guess" not in got[i] for i in (5, 6, 7))
+    import public_tokenizers as P
+
+    ranks = secrets.ranked_words(P.path("word_bpe_49k.json"))
+    assert len(ranks) > 10_000 and ranks["password"] == secrets.RANK["password"] and secrets.guess_cost("mountain", ranks)[0] < 6 < secrets.guess_cost("mountain")[0]
+
+
+def test_viterbi_by_exhaustion():
+    """Every path through small lattices, under a random character model."""
+    rng = np.random.default_rng(11)
+    p = rng.random((28, 28, 28, 28)).astype(np.float32)
+    decoder = toxicity.Decoder(np.log(p / p.sum(-1, keepdims=True)))
+
+    def text_score(state, text):
+        s = 0.0
+        for c in text:
+            d = 0 if c == " " else ord(c) - 96
+            s += float(decoder.log_p[(*state, d)])
+            state = (*state[1:], d)
+        return s, state
+
+    def best(token, spaced):
+        lattice, found = decoder.lattice(token, spaced), {}
+
+        def walk(place, state, score, made):
+            if place == len(token):
+                found.setdefault(round(score + float(decoder.log_p[(*state, 0)]), 6), made)
+                return
+            options = [(state, score, made)]
+            if spaced and place and state[2]:
+                s, after = text_score(state, " ")
+                options.append((after, score + toxicity.WORD_END + s, made + " "))
+            for state_, score_, made_ in options:
+                for end, text, channel in lattice[place]:
+                    for t in [chr(97 + k) for k in range(26)] if text == toxicity.ANY else [text]:
+                        s, after = text_score(state_, t)
+                        walk(end, after, score_ + channel + s, made_ + t)
+
+        walk(0, (0, 0, 0), 0.0, "")
+        return found[max(found)]
+
+    for token, spaced in (("1d10t", False), ("f**k", False), ("a$$", False), ("x!!|y", False), ("stu", True), ("abcd", True), ("#a#", False), ("booo", False)):
+        assert decoder.restore(token, spaced) == best(token, spaced), token
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     plain = [f"{a}{b}{c}" for a in "brtms" for b in ("an", "el", "or", "is") for c in ("do", "ne", "ka")]
