@@ -4,6 +4,7 @@ Every function takes and returns Columns, so plans stay inside generated code.""
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -150,3 +151,18 @@ def unscaled(p: Point, scale_x: Column, scale_y: Column, offset_x: Column, offse
 def endpoint_swap(a: Point, b: Point) -> Column:
     """True where the ends must change places for a to come first by (x, y)."""
     return (a.x > b.x) | ((a.x == b.x) & (a.y > b.y))
+
+
+def near_border(b: Box, width: float, height: float, margin: float = 10.0) -> Column:
+    """A box that reaches into the margin of an image."""
+    return (b.x < margin) | (b.y < margin) | (b.x + b.width > width - margin) | (b.y + b.height > height - margin)
+
+
+def rectangularity(size: Column, b: Box) -> Column:
+    """Share of its box that a shape of this area fills."""
+    return size / area(b)
+
+
+def circularity(size: Column, perimeter: Column) -> Column:
+    """1 for a circle, less for other outlines."""
+    return 4 * math.pi * size / (perimeter * perimeter)

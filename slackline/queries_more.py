@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from slackline.functions import geometry as g
-from slackline.operators import evidence, graph, pairing, review, schedule, validate
+from slackline.operators import evidence, graph, pairing, review, schedule, summary, validate
 from slackline.plans import derived
 from slackline.plans.iterate import cut
 from slackline.plans.derived_sql import ACTIVITIES, BOXES, NETWORKS, REGIONS, SEGMENTS
@@ -72,40 +72,34 @@ def dependency_entries(spark, d):
 
 @query("st04_sources", f"WITH {NETWORKS} SELECT network_id, activity_id FROM activities EXCEPT SELECT network_id, target FROM dependencies")
 def sources(spark, d):
-    acts, deps = nets(spark, d)
-    return acts.select("network_id", "activity_id").subtract(deps.select("network_id", "target"))
+    return summary.without_predecessors(*nets(spark, d))
 
 
 @query("st05_isolated", f"WITH {NETWORKS} SELECT network_id, activity_id FROM activities a WHERE NOT EXISTS (SELECT 1 FROM dependencies d WHERE d.network_id = a.network_id AND (d.s = a.seq OR d.t = a.seq))")
 def isolated(spark, d):
-    acts, deps = nets(spark, d)
-    touched = deps.select("network_id", F.col("source").alias("activity_id")).union(deps.select("network_id", "target"))
-    return acts.select("network_id", "activity_id").join(touched, ["network_id", "activity_id"], "left_anti")
+    return summary.without_edges(*nets(spark, d))
 
 
 @query("st06_namespace_collisions", f"WITH {BOXES}, {REGIONS} SELECT DISTINCT b.network_id, substr(b.node_id, 2) AS id FROM boxes b JOIN regions r ON r.network_id = b.network_id AND substr(r.region_id, 2) = substr(b.node_id, 2)")
 def collisions(spark, d):
     a = derived.diagram_boxes(spark, d).select("network_id", F.expr("substr(node_id, 2)").alias("id"))
-    return a.intersect(derived.text_regions(spark, d).select("network_id", F.expr("substr(region_id, 2)").alias("id")))
+    return summary.collisions(a, derived.text_regions(spark, d).select("network_id", F.expr("substr(region_id, 2)").alias("id")))
 
 
 @query("st09_comparable", f"WITH {ACTIVITIES}, uncertain AS (SELECT network_id, activity_id FROM activities WHERE seq % 5 = 2) SELECT network_id, activity_id FROM activities EXCEPT SELECT network_id, activity_id FROM uncertain")
 def comparable(spark, d):
     acts = derived.activities(spark, d)
-    return acts.select("network_id", "activity_id").join(acts.filter("seq % 5 = 2").select("network_id", "activity_id"), ["network_id", "activity_id"], "left_anti")
+    return summary.comparable(acts, acts.filter("seq % 5 = 2"))
 
 
 @query("wn02_top_k", f"WITH {BOXES}, k AS (SELECT network_id, node_id, row_number() OVER (PARTITION BY network_id ORDER BY confidence DESC, seq) AS rank FROM boxes) SELECT * FROM k WHERE rank <= 5")
 def top_k(spark, d):
-    w = W.partitionBy("network_id").orderBy(F.desc("confidence"), "seq")
-    return derived.diagram_boxes(spark, d).select("network_id", "node_id", F.row_number().over(w).alias("rank")).filter("rank <= 5")
+    return summary.top_k(derived.diagram_boxes(spark, d), 5, [F.desc("confidence"), "seq"]).select("network_id", "node_id", "rank")
 
 
 @query("wn06_first_edges", f"WITH {NETWORKS}, e AS (SELECT network_id, least(source, target) AS a, source, target, row_number() OVER (PARTITION BY network_id, least(source, target) ORDER BY greatest(source, target), source) AS k FROM dependencies) SELECT network_id, source, target FROM e WHERE k = 1")
 def first_edges(spark, d):
-    deps = nets(spark, d)[1]
-    first = deps.groupBy("network_id", F.least("source", "target").alias("a")).agg(F.min(F.struct(F.greatest("source", "target").alias("b"), "source", "target")).alias("m"))
-    return first.select("network_id", "m.source", "m.target")
+    return summary.first_edges(nets(spark, d)[1])
 
 
 @query("wn07_reading_order", f"WITH {REGIONS} SELECT network_id, string_agg(text, ' ' ORDER BY y, x, text) AS text FROM regions GROUP BY network_id")
@@ -142,22 +136,18 @@ def crop_mapping(spark, d):
 
 @query("pr20_near_border", f"WITH {BOXES} SELECT network_id, node_id, (x < 10 OR y < 10 OR x + width > 990 OR y + height > 790) AS near_border FROM boxes")
 def near_border(spark, d):
-    b = g.box()
-    return derived.diagram_boxes(spark, d).select("network_id", "node_id", ((b.x < 10) | (b.y < 10) | (b.x + b.width > 990) | (b.y + b.height > 790)).alias("near_border"))
+    return derived.diagram_boxes(spark, d).select("network_id", "node_id", g.near_border(g.box(), 1000, 800).alias("near_border"))
 
 
 @query("pr22_shape_formulas", f"WITH {BOXES}, p AS (SELECT *, 2 * (width + height) AS perimeter, 0.8 * width * height AS area FROM boxes) SELECT network_id, node_id, round(area / (width * height), 9) AS rectangularity, round(4 * pi() * area / (perimeter * perimeter), 9) AS circularity FROM p")
 def shape_formulas(spark, d):
-    import math
-
     size, edge = 0.8 * g.area(g.box()), 2 * (F.col("width") + F.col("height"))
-    return derived.diagram_boxes(spark, d).select("network_id", "node_id", F.round(size / g.area(g.box()), 9).alias("rectangularity"), F.round(4 * math.pi * size / (edge * edge), 9).alias("circularity"))
+    return derived.diagram_boxes(spark, d).select("network_id", "node_id", F.round(g.rectangularity(size, g.box()), 9).alias("rectangularity"), F.round(g.circularity(size, edge), 9).alias("circularity"))
 
 
 @query("pr25_diagram_confidence", f"WITH {BOXES}, {SEGMENTS}, u AS (SELECT network_id, confidence FROM boxes UNION ALL SELECT network_id, confidence FROM segments) SELECT network_id, round(avg(confidence), 9) AS confidence FROM u GROUP BY network_id")
 def diagram_confidence(spark, d):
-    u = derived.diagram_boxes(spark, d).select("network_id", "confidence").unionByName(derived.diagram_segments(spark, d).select("network_id", "confidence"))
-    return u.groupBy("network_id").agg(F.round(F.avg("confidence"), 9).alias("confidence"))
+    return summary.diagram_confidence(derived.diagram_boxes(spark, d), derived.diagram_segments(spark, d))
 
 
 @query("pr27_coercions", f"WITH {LABELS} SELECT region, CASE WHEN regexp_full_match(trim(text), '[-+]?\\d+') THEN TRY_CAST(trim(text) AS BIGINT) END AS whole, TRY_CAST(text AS DOUBLE) AS number FROM labels_in")
@@ -180,36 +170,35 @@ def confident(spark, d):
 @query("ag13_stage_metrics", "SELECT o_orderpriority AS class, count(CASE WHEN o_orderkey % 7 <> 0 THEN 1 END) AS with_nodes, avg(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 60 END) AS mean_nodes, max(o_orderkey % 50) AS max_shapes FROM orders GROUP BY o_orderpriority")
 def class_metrics(spark, d):
     k = F.col("o_orderkey")
-    nodes = F.when(k % 7 != 0, k % 60)
-    return derived.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("class")).agg(F.count(nodes).alias("with_nodes"), F.avg(nodes).alias("mean_nodes"), F.max(k % 50).alias("max_shapes"))
+    rows = derived.read(spark, d, "orders").select(F.col("o_orderpriority").alias("class"), F.when(k % 7 != 0, k % 60).alias("nodes"), (k % 50).alias("shapes"))
+    return summary.stage_metrics(rows, ["class"], ["nodes", "shapes"]).select("class", F.col("reports_nodes").alias("with_nodes"), F.col("mean_nodes"), F.col("largest_shapes").alias("max_shapes"))
 
 
 @query("ag14_stage_progression", "SELECT o_orderkey AS image, unnest(['raw_shapes', 'arrows_detected', 'ocr_regions']) AS stage, unnest([o_orderkey % 50, (o_orderkey * 5) % 9, o_orderkey % 3]) AS n FROM orders")
 def progression(spark, d):
-    rows = stage_metrics(spark, d)
-    return rows.unpivot("image", ["raw_shapes", "arrows_detected", "ocr_regions"], "stage", "n")
+    return summary.stage_progression(stage_metrics(spark, d), "image", ["raw_shapes", "arrows_detected", "ocr_regions"])
 
 
 @query("ag21_text_confidence", f"WITH {REGIONS} SELECT network_id, round(avg(confidence), 9) AS mean_confidence, count(*) FILTER (confidence >= 0.45) AS high FROM regions GROUP BY network_id")
 def text_confidence(spark, d):
-    return derived.text_regions(spark, d).groupBy("network_id").agg(F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.count_if(F.col("confidence") >= 0.45).alias("high"))
+    return summary.text_confidences(derived.text_regions(spark, d), high=0.45)
 
 
 @query("ag23_confidence_summary", f"WITH {BOXES} SELECT network_id, min(confidence) AS least, max(confidence) AS most, round(avg(confidence), 9) AS mean FROM boxes GROUP BY network_id")
 def confidence_summary(spark, d):
-    return derived.diagram_boxes(spark, d).groupBy("network_id").agg(F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.round(F.avg("confidence"), 9).alias("mean"))
+    return summary.confidences(derived.diagram_boxes(spark, d))
 
 
 @query("ag24_status_counts", f"WITH {OCR} SELECT node_id % 10 AS batch, count(*) FILTER (raw IS NULL) AS missing, count(*) FILTER (confidence >= 0.7) AS sure, count(*) AS total FROM ocr GROUP BY ALL")
 def status_counts(spark, d):
-    return ocr(spark, d).groupBy((F.col("node_id") % 10).alias("batch")).agg(F.count_if(F.col("raw").isNull()).alias("missing"), F.count_if(F.col("confidence") >= 0.7).alias("sure"), F.count("*").alias("total"))
+    return summary.status_counts(ocr(spark, d), [(F.col("node_id") % 10).alias("batch")], {"missing": F.col("raw").isNull(), "sure": F.col("confidence") >= 0.7})
 
 
 @query("bm02_count_comparison", f"WITH {NETWORKS}, e AS (SELECT network_id, count(*) AS expected FROM activities GROUP BY ALL), f AS (SELECT network_id, count(*) AS found FROM activities WHERE seq % 4 <> 3 GROUP BY ALL) SELECT e.network_id, expected, found, abs(expected - found) AS off, round_even((found / expected)::DOUBLE, 4) AS ratio FROM e JOIN f USING (network_id)")
 def count_comparison(spark, d):
+    """Every fourth activity was not found."""
     acts = derived.activities(spark, d)
-    n = acts.groupBy("network_id").agg(F.count("*").alias("expected"), F.count_if(F.col("seq") % 4 != 3).alias("found")).filter("found > 0")
-    return n.withColumn("off", F.abs(F.col("expected") - F.col("found"))).withColumn("ratio", F.bround(F.col("found") / F.col("expected"), 4))
+    return summary.count_comparison(acts, acts.filter("seq % 4 <> 3"))
 
 
 # --- merging, resolution, reviews ---------------------------------------------------------
