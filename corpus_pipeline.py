@@ -9,6 +9,9 @@ read again as the next one's docs. Every row is decided by its own text, whether
 4. mixing: sources stand at their target weights; those below them are repeated, none is cut.
 5. token_shards: token sequences at keyed random slots of binary shards; a row for each sequence. Repeats of a document go to
    places of their own, so every stretch of slots holds the sources at their weights but for chance.
+
+Edge cases: a null or empty text is clean, no copy of another and one end token; of rows that are equal in id and text one stays
+(all do if their text has no words); a null source is a source of its own; empty tables give no rows; stages keep all columns of their input, whatever their names.
 """
 
 from __future__ import annotations
