@@ -7,7 +7,8 @@ without overlap); rounds end when no row has a mergeable pair. A document's coun
 over its pre-tokens, and one for each special token's string in it.
 
 Edge cases: null counts as empty text (0 tokens); white space only gives 0 tokens; texts of
-any length are split whole; the cache of pre-token counts is bounded and only saves time.
+any length are split whole; repeated rows and null ids each keep their row; an empty table gives no rows; other columns are
+ignored; the cache of pre-token counts is bounded and only saves time.
 """
 
 from __future__ import annotations

@@ -15,7 +15,11 @@ be split.
 
 Edge cases: null or empty text and text of white space only have no shingles and link
 with nothing; one to four words are one shingle; rows with equal doc_id are one node;
-a null doc_id links with nothing and is kept; other columns are ignored.
+a null doc_id links with nothing and is kept; very long texts are a block of their own, with their whole sets; an empty
+table gives no rows; other columns are ignored. Shingles are compared by 64-bit hashes of their words' bytes.
+
+A bucket of M documents that are not similar to each other (one frequent passage in otherwise different texts) still costs
+M * strays comparisons, in blocks that can be spread over all tasks; no pair is dropped to avoid them.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ A window holds a fixed share of all vectors, so counting over one sorted order o
 Vectors are therefore dealt to groups first: a group is one cell of a grid over a few further projections, and there are
 several such tables, each with directions and offsets of its own. The numbers of directions and tables follow from the number
 of vectors: groups stay near GROUP vectors, and a pair at the limit meets in no table with a probability below 1e-4. A pair is
-counted in the first table in which it meets. Copies of a vector grow with the number of tables, some n ** 0.16.
+counted in the first table in which it meets. Copies of a vector grow with the number of tables, some n ** 0.19.
 
 Equal vectors collapse to one. Groups of more than BLOCK vectors (dense regions) are dealt on to pairs of blocks, without loss;
 a block pair adds up links by vector and joins its links to trees, so tasks return rows in
