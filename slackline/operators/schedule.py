@@ -43,7 +43,12 @@ def gathered(activities: DataFrame, dependencies: DataFrame, carry: tuple[str, .
     acts = activities.groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("seq", "activity_id", "duration", *carry))).alias("a"))
     deps = dependencies.groupBy("network_id").agg(F.collect_set(F.struct("source", "target")).alias("d"))
     empty = F.expr("cast(array() as array<struct<source:string,target:string>>)")
-    rows = acts.join(deps, "network_id", "left").withColumn("d", F.coalesce("d", empty))
+    return placed(acts.join(deps, "network_id", "left").withColumn("d", F.coalesce("d", empty)), carry)
+
+
+def placed(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a network's activities a and distinct edges d (source, target) -> those of gathered(), other columns kept."""
+    others = [c for c in rows.columns if c not in ("a", "d")]
     rows = rows.withColumn("ids", F.expr("a.activity_id")).withColumn("e", F.expr(let(_EDGES, "ids", "d")))
     # places already rise along every edge in most networks; else sort by level, and a level of n means a cycle
     rows = rows.withColumn("level", F.when(F.expr("forall(e, x -> x.s < x.t)"), F.lit(None)).otherwise(F.expr(let(_ORDER, "a", "e"))))
@@ -51,7 +56,7 @@ def gathered(activities: DataFrame, dependencies: DataFrame, carry: tuple[str, .
     fields = ", ".join(f"'{c}', x.v.{c}" for c in ("seq", "activity_id", "duration", *carry))
     sorted_a = F.expr(f"transform(array_sort(transform(a, (v, i) -> named_struct('level', level[i], 'i', i, 'v', v))), x -> named_struct({fields}))")
     rows = rows.withColumn("a", F.when(F.col("level").isNull(), F.col("a")).otherwise(sorted_a)).withColumn("ids", F.expr("a.activity_id"))
-    return rows.withColumn("e", F.when(F.col("level").isNull(), F.col("e")).otherwise(F.expr(let(_EDGES, "ids", "d")))).select("network_id", "a", "e", "acyclic")
+    return rows.withColumn("e", F.when(F.col("level").isNull(), F.col("e")).otherwise(F.expr(let(_EDGES, "ids", "d")))).select(*others, "a", "e", "acyclic")
 
 
 FORWARD = """aggregate(sequence(1, size(a)), cast(array() as array<double>),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from slackline.operators import graph
-from slackline.operators.schedule import FOLD_LIMIT, by_size, gathered, let
+from slackline.operators.schedule import FOLD_LIMIT, by_size, gathered, let, placed
 
 
 def issue(rows: DataFrame, code: str, element: Column | str = "") -> DataFrame:
@@ -41,16 +41,48 @@ def loop_counts(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
     return counted.join(graph.acyclic(activities, dependencies, 0), "network_id").select("network_id", "component_count", F.col("is_dag").alias("acyclic"))
 
 
+#: Labels of a small network settle within its own row.
+COMPONENTS = """aggregate(sequence(1, size(a)), sequence(1, size(a)), (c, r) -> transform(c, (v, i) ->
+    least(v, coalesce(array_min(transform(filter(e, x -> x.s = i + 1 or x.t = i + 1), x -> least(c[x.s - 1], c[x.t - 1]))), v))))"""
+
+
 def fold_counts(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Labels of a small network settle within its own row."""
     rows = gathered(activities, dependencies)
-    label = """aggregate(sequence(1, size(a)), sequence(1, size(a)), (c, r) -> transform(c, (v, i) ->
-        least(v, coalesce(array_min(transform(filter(e, x -> x.s = i + 1 or x.t = i + 1), x -> least(c[x.s - 1], c[x.t - 1]))), v))))"""
-    return rows.select("network_id", F.size(F.array_distinct(F.expr(let(label, "a", "e")))).alias("component_count"), "acyclic")
+    return rows.select("network_id", F.size(F.array_distinct(F.expr(let(COMPONENTS, "a", "e")))).alias("component_count"), "acyclic")
 
 
-def graph_issues(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+def graph_issues(activities: DataFrame, dependencies: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """All structural issues; activities that are dummies (is_dummy) may have no duration. Empty networks have no rows to report."""
+    return by_size(activities, dependencies, fold_issues, join_issues, fold_limit)
+
+
+def fold_issues(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Every check of a small network inside its own row: one grouping of each table, no joins of edges with activities."""
+    dummy = F.coalesce(F.col("is_dummy"), F.lit(False)) if "is_dummy" in activities.columns else F.lit(False)
+    acts = activities.withColumn("dummy", dummy).groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("seq", "activity_id", "duration", "dummy"))).alias("all"))
+    deps = dependencies.groupBy("network_id").agg(F.collect_list(F.struct("source", "target")).alias("d_all"))
+    rows = acts.join(deps, "network_id", "full")
+    rows = rows.withColumn("all", F.coalesce("all", F.expr("filter(array(named_struct('seq', 0, 'activity_id', '', 'duration', 0D, 'dummy', false)), x -> false)").cast(rows.schema["all"].dataType)))
+    rows = rows.withColumn("d_all", F.coalesce("d_all", F.expr("cast(array() as array<struct<source:string,target:string>>)")))
+    rows = rows.withColumn("known", F.expr("filter(all.activity_id, x -> x is not null)")).withColumn("a", F.expr("transform(filter(all, (x, i) -> array_position(all.activity_id, x.activity_id) = i + 1), x -> named_struct('seq', x.seq, 'activity_id', x.activity_id, 'duration', x.duration))")).withColumn("d", F.array_distinct("d_all"))
+    rows = placed(rows)
+    rows = rows.withColumn("component_count", F.size(F.array_distinct(F.expr(let(COMPONENTS, "a", "e")))))
+    has = "coalesce(array_contains(known, {0}), false)"
+    found = f"""flatten(array(
+        transform(filter(all, x -> x.activity_id is null or trim(x.activity_id) = ''), x -> named_struct('code', 'missing_activity_id', 'element', x.activity_id)),
+        transform(filter(all, x -> coalesce(x.duration, 0D) <= 0 and not x.dummy), x -> named_struct('code', 'missing_duration', 'element', x.activity_id)),
+        transform(filter(d_all, x -> not {has.format("x.source")}), x -> named_struct('code', 'unknown_dependency_source', 'element', x.source)),
+        transform(filter(d_all, x -> not {has.format("x.target")}), x -> named_struct('code', 'unknown_dependency_target', 'element', x.target)),
+        transform(filter(d_all, x -> x.source = x.target), x -> named_struct('code', 'self_loop', 'element', x.source)),
+        flatten(transform(array_distinct(d_all), x -> array_repeat(named_struct('code', 'duplicate_edge', 'element', concat_ws('->', x.source, x.target)), size(filter(d_all, y -> y = x)) - 1))),
+        if(acyclic or size(a) = 0, array(), array(named_struct('code', 'cycle', 'element', ''))),
+        if(component_count > 1 and size(a) > 0, array(named_struct('code', 'disconnected_components', 'element', cast(component_count as string))), array()),
+        transform(filter(all, v -> not coalesce(exists(d_all, x -> (x.source = v.activity_id or x.target = v.activity_id) and {has.format("x.source")} and {has.format("x.target")}), false)), x -> named_struct('code', 'isolated_activity', 'element', x.activity_id))))"""
+    return rows.select("network_id", F.explode(F.expr(let(found, "all", "d_all", "known"))).alias("i")).select("network_id", "i.code", F.col("i.element").cast("string").alias("element"))
+
+
+def join_issues(activities: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """The same by joins, for networks of any size."""
     dummy = F.coalesce(F.col("is_dummy"), F.lit(False)) if "is_dummy" in activities.columns else F.lit(False)
     known = graph.known_edges(activities, dependencies)
     touched = known.select("network_id", F.col("source").alias("activity_id")).union(known.select("network_id", "target")).distinct()

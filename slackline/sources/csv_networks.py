@@ -45,15 +45,14 @@ def parse_texts(texts: DataFrame, duration_column: str = "duration") -> tuple[Da
     at = lambda name: F.nullif(F.get("c", F.array_position("header", name).cast("int") - 1), F.lit(""))
     value = {c: F.when(has(c), at(c)) for c in ("activity_id", "name", "predecessors", *ESTIMATES)}
     value["duration"] = at(F.col("duration_column"))
-    flat = flat.select("network_id", "row_number", has("name").alias("has_name"), *[v.alias(c) for c, v in value.items()])
+    flat = flat.select("network_id", "row_number", *[v.alias(c) for c, v in value.items()])
     number = F.col("duration").try_cast("double")
     code = F.when(F.col("activity_id").isNull(), "missing_activity_id").when(F.col("duration").isNotNull() & number.isNull(), "invalid_duration")
     marked = flat.withColumn("code", code)
     errors = marked.filter("code is not null").select("network_id", "row_number", "code", F.when(F.col("code") == "invalid_duration", F.col("duration")).alias("value")).unionByName(whole)
     bad = F.max(F.col("code").isNotNull()).over(W.partitionBy("network_id"))
     good = marked.withColumn("bad", bad).filter("not bad")
-    name = F.when(F.col("has_name"), F.coalesce("name", F.lit(""))).otherwise(F.col("activity_id"))
-    activities = good.select("network_id", "activity_id", (F.col("row_number") - 1).alias("seq"), "row_number", name.alias("name"), number.alias("duration"), *[F.col(c).try_cast("double").alias(c) for c in ESTIMATES])
+    activities = good.select("network_id", "activity_id", (F.col("row_number") - 1).alias("seq"), "row_number", F.coalesce("name", "activity_id").alias("name"), number.alias("duration"), *[F.col(c).try_cast("double").alias(c) for c in ESTIMATES])
     sources = F.filter(F.split(F.coalesce("predecessors", F.lit("")), r"[,\s]+"), lambda p: p != "")
     return activities, good.select("network_id", F.explode(sources).alias("source"), F.col("activity_id").alias("target")), errors
 

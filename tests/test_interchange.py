@@ -25,7 +25,7 @@ def test_csv_texts(spark, tmp_path):
     rows = {}
     for r in activities.collect():
         rows.setdefault(r.network_id, []).append((r.row_number, r.activity_id, r.name, r.duration))
-    assert sorted(rows["plain"]) == [(2, "A", 'first, "one"', 2.5), (3, "B", "", 3.0), (4, "C", "two\nlines", 4.0)]
+    assert sorted(rows["plain"]) == [(2, "A", 'first, "one"', 2.5), (3, "B", "B", 3.0), (4, "C", "two\nlines", 4.0)]
     assert sorted(rows["quoted lines"]) == [(2, "A\nx", "A\nx", 1.0), (3, "B", "B", 2.0)]
     assert sorted(rows["other order"]) == [(2, "A", "A", 10.0), (3, "B", "B", None)]
     assert set(rows) <= {"plain", "quoted lines", "other order"}

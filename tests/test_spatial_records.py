@@ -99,12 +99,16 @@ def test_near_pairs_equals_all_pairs(spark):
 
 def test_csv_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.csv").write_text("﻿Activity_ID, Name ,Dur,Predecessors,optimistic_time\nA,Start,5,,1\nB,,3.5,\"A, A\",x\n,bad,1,,\nC,End,,A B,0\nD,Odd,two,C,\n", encoding="utf-8")
+    head = "\ufeffActivity_ID, Name ,Dur,Predecessors,optimistic_time\n"
+    (tmp_path / "in" / "a.csv").write_text(head + "A,Start,5,,1\nB,,3.5,\"A, A\",x\nC,End,,A B,0\nD,Odd,2,C,\n", encoding="utf-8")
+    (tmp_path / "in" / "bad.csv").write_text(head + "A,Start,5,,1\n,bad,1,,\nD,Odd,two,A,\n", encoding="utf-8")
     acts, deps, errors = csv_networks.read_csv(spark, f"{tmp_path}/in")
     rows = {r.activity_id: r for r in acts.collect()}
-    assert [(rows[k].name, rows[k].duration, rows[k].optimistic_time) for k in "ABCD"] == [("Start", 5.0, 1.0), ("B", 3.5, None), ("End", None, 0.0), ("Odd", None, None)]
+    assert [(rows[k].name, rows[k].duration, rows[k].optimistic_time) for k in "ABCD"] == [("Start", 5.0, 1.0), ("B", 3.5, None), ("End", None, 0.0), ("Odd", 2.0, None)]
     assert sorted({(r.source, r.target) for r in deps.collect()}) == [("A", "B"), ("A", "C"), ("B", "C"), ("C", "D")]
-    assert sorted(r.code for r in errors.collect()) == ["invalid_duration", "missing_activity_id"]
+    assert sorted((r.row_number, r.code) for r in errors.collect()) == [(3, "missing_activity_id"), (4, "invalid_duration")]
+    split_acts, _, split_errors = csv_networks.read_split_csv(spark, f"{tmp_path}/in")
+    assert split_acts.count() == 6 and sorted(r.code for r in split_errors.collect()) == ["invalid_duration", "missing_activity_id"]
     named = acts.withColumn("network_id", F.lit("n1")), deps.withColumn("network_id", F.lit("n1"))
     csv_networks.write_csv(*named, f"{tmp_path}/out")
     again, again_deps, _ = csv_networks.read_csv(spark, f"{tmp_path}/out/*")
