@@ -53,12 +53,18 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz",
 }
+#: Signs that may stand for any letter.
+MASKS = {c for c, letters in LEET.items() if len(letters) == 26}
+LETTERS = np.arange(1, 27)
 #: Log probabilities of the channel: a letter was replaced; a sign is only a sign; a letter was repeated.
 REPLACED, SIGN, REPEATED = math.log(0.3), math.log(0.05), math.log(0.4)
 #: A word ends inside spaced text.
 WORD_END = math.log(0.3)
-#: The text of an arc for any letter.
-ANY = "?"
+#: The text of an arc for any letter; a run of more signs than MASKED does not stand for so many letters, but for one or none.
+ANY, ANY_TWICE = "?", "??"
+MASKED = 12
+#: States from which on a step is taken over the whole cube of them.
+DENSE = 800
 
 SYMBOL = np.zeros(256, np.int32)
 SYMBOL[97:123] = np.arange(1, 27)
@@ -128,6 +134,7 @@ class Decoder:
     def __init__(self, log_p: np.ndarray) -> None:
         self.log_p = log_p
         self.cached = lru_cache(200_000)(self._restore)
+        self.tails: list[tuple[np.ndarray, np.ndarray]] = []
 
     def restore(self, token: str, spaced: bool = False) -> str:
         return self.cached(token, spaced) if len(token) <= LONGEST_CACHED else self._restore(token, spaced)
@@ -145,8 +152,9 @@ class Decoder:
             if char in LEET:
                 choices = [(c, REPLACED - math.log(len(LEET[char]))) for c in LEET[char]]
                 out[i].append((j, "", SIGN * min(n, 2)))
-                out[i] += [(j, c, p) for c, p in choices] if n == 1 else [(j, c * k, p + (REPEATED if k < n else 0)) for c, p in choices for k in (1, 2)]
-                if n > 1:
+                made = [((ANY, ANY_TWICE), choices[0][1])] if len(choices) == 26 else [((c, c * 2), p) for c, p in choices]
+                out[i] += [(j, c[0], p) for c, p in made] if n == 1 else [(j, c[k - 1], p + (REPEATED if k < n else 0)) for c, p in made for k in (1, 2)]
+                if n > 1 and (len(choices) < 26 or n <= MASKED):
                     for k in range(i, j):
                         out[k] += [(k + 1, ANY, choices[0][1])] if len(choices) == 26 else [(k + 1, c, p) for c, p in choices]
                 continue
@@ -157,6 +165,61 @@ class Decoder:
         return out
 
     def _restore(self, token: str, spaced: bool = False) -> str:
+        masked = [c for c in token if c in MASKS]
+        if masked and not spaced and token[-1] in MASKS:
+            head = token.rstrip(token[-1])
+            if head and not any(c in MASKS for c in head):
+                return self._restore_tail(head, token[-1], len(token) - len(head))
+        if masked:
+            return self._restore_masked(token, spaced)
+        link = max(self._search(token, spaced).items(), key=lambda x: x[1][0] + float(self.log_p[(*x[0], 0)]))[1][1]
+        return self._text(link)
+
+    @staticmethod
+    def _text(link: tuple | None) -> str:
+        pieces = []
+        while link is not None:
+            link, text = link
+            pieces.append(text)
+        return "".join(reversed(pieces))
+
+    def _tails(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every state the best score of n letters of any kind and the word's end, and the first of those letters."""
+        cube = (SYMBOLS,) * 3
+        if not self.tails:
+            self.tails.append((self.log_p[:, :, :, 0], np.zeros(cube, np.int8)))
+        while len(self.tails) <= n:
+            made = self.log_p[:, :, :, 1:27] + self.tails[-1][0][None, :, :, 1:27]
+            self.tails.append((made.max(-1), (made.argmax(-1) + 1).astype(np.int8)))
+        return self.tails[n]
+
+    def _restore_tail(self, head: str, sign: str, n: int) -> str:
+        """A token that ends in n signs for any letter: the search over the head, then the best tail of each of its states."""
+        channel = REPLACED - math.log(len(LEET[sign]))
+        best, made = -math.inf, ""
+        for state, (score, link) in self._search(head, False).items():
+            a, b, c = state
+            twice = self.log_p[a, b, c, 1:27] + self.log_p[b, c, LETTERS, LETTERS] + self.log_p[c, LETTERS, LETTERS, 0]
+            ways = [(score + SIGN * min(n, 2) + float(self._tails(0)[0][state]), 0, False)]
+            ways.append((score + channel + (REPEATED if n > 1 else 0) + float(self._tails(1)[0][state]), 1, False))
+            if n > 1:
+                ways.append((score + channel + (REPEATED if n > 2 else 0) + float(twice.max()), 2, True))
+            if 1 < n <= MASKED:
+                ways.append((score + n * channel + float(self._tails(n)[0][state]), n, False))
+            s, k, double = max(ways, key=lambda w: w[0])
+            if s > best:
+                best, text = s, self._text(link)
+                if double:
+                    text += chr(97 + int(twice.argmax())) * 2
+                for left in range(0 if double else k, 0, -1):
+                    d = int(self._tails(left)[1][a, b, c])
+                    text += chr(96 + d)
+                    a, b, c = b, c, d
+                made = text
+        return made
+
+    def _search(self, token: str, spaced: bool) -> dict:
+        """The states after a token without signs for any letter, with their scores and texts as linked pieces."""
         log_p = self.log_p
         # state -> score and the made text as linked pieces
         beams: list[dict | None] = [{} for _ in range(len(token) + 1)]
@@ -171,9 +234,6 @@ class Decoder:
                         beam[b, c, 0] = (s, (made, " "))
             for end, text, channel in arcs:
                 fresh = beams[end]
-                if text == ANY:
-                    self.any_letter(beam, channel, fresh)
-                    continue
                 for (a, b, c), (score, made) in beam.items():
                     s = score + channel
                     for char in text:
@@ -182,26 +242,84 @@ class Decoder:
                         a, b, c = b, c, d
                     if s > fresh.get((a, b, c), (-math.inf,))[0]:
                         fresh[a, b, c] = (s, (made, text))
-        link = max(beams[-1].items(), key=lambda x: x[1][0] + float(log_p[(*x[0], 0)]))[1][1]
-        pieces = []
-        while link is not None:
-            link, text = link
-            pieces.append(text)
-        return "".join(reversed(pieces))
+        return beams[-1]
+
+    def _after_any(self, states: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States after one more letter of any kind: (state, best score, the state before it)."""
+        values, before = np.full(SYMBOLS**3, -np.inf, np.float32), np.zeros(SYMBOLS**3, np.int32)
+        if len(states) > DENSE:
+            cube = np.full(SYMBOLS**3, -np.inf, np.float32)
+            cube[states] = scores
+            cube = cube.reshape((SYMBOLS,) * 3)
+            pairs = np.arange(SYMBOLS**2)
+            for d in range(1, 27):
+                made = (cube + self.log_p[:, :, :, d]).reshape(SYMBOLS, -1)
+                best = made.argmax(0)
+                values[pairs * SYMBOLS + d], before[pairs * SYMBOLS + d] = made[best, pairs], best * SYMBOLS**2 + pairs
+        else:
+            made = (scores[:, None] + self.log_p.reshape(-1, SYMBOLS)[states, 1:27]).reshape(-1)
+            into = (states[:, None] % SYMBOLS**2 * SYMBOLS + np.arange(1, 27)).reshape(-1)
+            order = np.argsort(made, kind="stable")  # of several ways into a state the best is written last
+            values[into[order]], before[into[order]] = made[order], np.repeat(states, 26)[order]
+        reached = np.flatnonzero(values > -np.inf)
+        return reached, values[reached], before[reached]
+
+    def _restore_masked(self, token: str, spaced: bool) -> str:
+        """The same search over arrays, where signs stand for any letter and many states may be reached."""
+        log_p, flat = self.log_p, self.log_p.reshape(-1, SYMBOLS)
+        score = [np.full(SYMBOLS**3, -np.inf, np.float32) for _ in range(len(token) + 1)]
+        came = [np.zeros((2, SYMBOLS**3), np.int32) for _ in range(len(token) + 1)]  # the state before, and the arc
+        arcs_into: list[tuple[int, str]] = [(-1, "")]  # (place it leaves, text)
+        score[0][0] = 0.0
+
+        def offer(end: int, states: np.ndarray, values: np.ndarray, before: np.ndarray, place: int, text: str) -> None:
+            better = values > score[end][states]
+            at = states[better]
+            arcs_into.append((place, text))
+            score[end][at], came[end][0, at], came[end][1, at] = values[better], before[better], len(arcs_into) - 1
 
-    def any_letter(self, beam: dict, channel: float, fresh: dict) -> None:
-        """The best way into every state after one more letter of any kind."""
-        states = list(beam)
-        a, b, c = np.array(states).reshape(-1, 3).T
-        scores = (self.log_p[a, b, c, 1:27] + np.array([beam[x][0] + channel for x in states])[:, None]).reshape(-1)
-        into = ((b * SYMBOLS + c)[:, None] * SYMBOLS + np.arange(1, 27)).reshape(-1)
-        order = np.lexsort((-scores, into))
-        first = np.concatenate([[True], into[order][1:] != into[order][:-1]])
-        for at in order[first].tolist():
-            k, d = divmod(at, 26)
-            state, s = (*states[k][1:], d + 1), float(scores[at])
-            if s > fresh.get(state, (-math.inf,))[0]:
-                fresh[state] = (s, (beam[states[k]][1], chr(97 + d)))
+        for place, arcs in enumerate(self.lattice(token, spaced)):
+            states = np.flatnonzero(score[place] > -np.inf)
+            if spaced and place:
+                inside = states[states % SYMBOLS > 0]
+                values, order = score[place][inside] + np.float32(WORD_END) + flat[inside, 0], np.argsort(score[place][inside] + flat[inside, 0], kind="stable")
+                after = inside % SYMBOLS**2 * SYMBOLS
+                last = np.full(SYMBOLS**3, -1)
+                last[after[order]] = order  # the best way into each state
+                pick = last[np.unique(after)]
+                offer(place, after[pick], values[pick], inside[pick], place, " ")
+                states = np.flatnonzero(score[place] > -np.inf)
+            now = score[place][states]
+            for end, text, channel in arcs:
+                if text in (ANY, ANY_TWICE):
+                    to, values, before = self._after_any(states, now)
+                    if text == ANY_TWICE:
+                        d = to % SYMBOLS
+                        values, twice = values + flat[to, d], to % SYMBOLS**2 * SYMBOLS + d
+                        order = np.argsort(values, kind="stable")
+                        last = np.full(SYMBOLS**3, -1)
+                        last[twice[order]] = order
+                        pick = last[np.unique(twice)]
+                        to, values, before = twice[pick], values[pick], before[pick]
+                    offer(end, to, values + np.float32(channel), before, place, text)
+                    continue
+                to, values = states, now
+                for char in text:
+                    d = ord(char) - 96 if "a" <= char <= "z" else 27
+                    to, values = to % SYMBOLS**2 * SYMBOLS + d, values + flat[to, d]
+                order = np.argsort(values, kind="stable")
+                last = np.full(SYMBOLS**3, -1)
+                last[to[order]] = order
+                pick = last[np.unique(to)]
+                offer(end, to[pick], values[pick] + np.float32(channel), states[pick], place, text)
+        final = score[-1].reshape((SYMBOLS,) * 3) + log_p[:, :, :, 0]
+        place, state, pieces = len(token), int(final.argmax()), []
+        while arc := int(came[place][1, state]):
+            before, (start, text) = int(came[place][0, state]), arcs_into[arc]
+            letter = chr(96 + state % SYMBOLS)
+            pieces.append(letter if text == ANY else letter * 2 if text == ANY_TWICE else text)
+            place, state = start, before
+        return "".join(reversed(pieces))
 
     def restored(self, text: str) -> list[str]:
         """The words restored from a lower-case text's obfuscated tokens."""

@@ -302,14 +302,14 @@ def test_viterbi_by_exhaustion():
                 options.append((after, score + toxicity.WORD_END + s, made + " "))
             for state_, score_, made_ in options:
                 for end, text, channel in lattice[place]:
-                    for t in [chr(97 + k) for k in range(26)] if text == toxicity.ANY else [text]:
+                    for t in [chr(97 + k) * len(text) for k in range(26)] if text in (toxicity.ANY, toxicity.ANY_TWICE) else [text]:
                         s, after = text_score(state_, t)
                         walk(end, after, score_ + channel + s, made_ + t)
 
         walk(0, (0, 0, 0), 0.0, "")
         return found[max(found)]
 
-    for token, spaced in (("1d10t", False), ("f**k", False), ("a$$", False), ("x!!|y", False), ("stu", True), ("abcd", True), ("#a#", False), ("booo", False)):
+    for token, spaced in (("1d10t", False), ("f**k", False), ("a$$", False), ("x!!|y", False), ("stu", True), ("abcd", True), ("#a#", False), ("booo", False), ("b##", False), ("a*b", True), ("a1*", False), ("c###", False), ("!!#", False)):
         assert decoder.restore(token, spaced) == best(token, spaced), token
 
 
