@@ -52,3 +52,18 @@ r(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM
 c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+#: Every 50-byte string of every text, by its bytes.
+REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, CAST(octet_length(h) - 49 AS BIGINT))) AS p, unnest(list_transform(range(0, CAST(octet_length(h) - 49 AS BIGINT)), lambda i: h[i + 1:i + 50])) AS x FROM d WHERE octet_length(h) >= 50),
+m AS (SELECT x, min(doc_id) AS least FROM w GROUP BY x),
+r AS (SELECT w.doc_id, w.p FROM w JOIN m ON m.x = w.x WHERE w.doc_id > m.least),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM r),
+k AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM spans),
+t AS (SELECT q.doc_id, string_agg(hex(d.h[q.f + 1:q.a]), '' ORDER BY q.a) AS head FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id),
+e AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS past FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(d.h) AS BIGINT) AS n_bytes, CAST(coalesce(e.n_removed, 0) AS BIGINT) AS n_removed, coalesce(e.n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.head, '') || hex(d.h[coalesce(e.past, 0) + 1:octet_length(d.h)]))) AS kept_sha256
+FROM d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": oracles.MIX, "op7_embedding_dedup": oracles.VECTORS, "op9_minhash": oracles.NEAR, "op10_decontaminate": oracles.LEAKS}
+    return {"op1_mix_sources": oracles.MIX, "op5_suffix_dedup": oracles.REPEATS, "op7_embedding_dedup": oracles.VECTORS, "op9_minhash": oracles.NEAR, "op10_decontaminate": oracles.LEAKS}
