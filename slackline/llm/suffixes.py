@@ -48,7 +48,7 @@ SLICE = 1_000_000
 PART_BYTES = 8_000_000
 SHARD_BYTES = 1_500_000
 #: Segment bytes of one minimiser from which its strings are dealt one by one.
-HOT_BYTES = 1_000_000
+HOT_BYTES = 2_000_000
 #: Strings of a segment at most; longer runs of one minimiser (as in "aaaa...") are cut into several.
 PIECE = 4096
 #: Not a byte of UTF-8 text.
