@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slackline.operators import batches, schedule, validate
+from slackline.plans.iterate import cut
+
 # Decisions and the status they give.
 STATUS = {"ACCEPT": "ACCEPTED", "CORRECT": "CORRECTED", "REJECT": "REJECTED"}
 
@@ -36,10 +39,14 @@ def overlay(values: DataFrame, log: DataFrame) -> DataFrame:
     return kept.select("item_id", F.when(F.col("status") == "CORRECTED", F.col("corrected_value")).otherwise(F.col("value")).alias("value"), F.coalesce("status", F.lit("PENDING")).alias("status"))
 
 
+def usable(log: DataFrame) -> DataFrame:
+    """Log rows that can decide an edge."""
+    return log.filter(F.col("decision").isin("ACCEPT", "REJECT", "REVERSE") | (F.col("decision").isin("CHANGE_SOURCE", "CHANGE_TARGET") & F.col("new_end").isNotNull()))
+
+
 def decided_edges(edges: DataFrame, log: DataFrame) -> DataFrame:
     """edges (item_id, source, target) with log decisions ACCEPT, REJECT, REVERSE, CHANGE_SOURCE, CHANGE_TARGET (new_end) applied, first one first."""
-    usable = log.filter(F.col("decision").isin("ACCEPT", "REJECT", "REVERSE") | (F.col("decision").isin("CHANGE_SOURCE", "CHANGE_TARGET") & F.col("new_end").isNotNull()))
-    first = usable.groupBy("item_id").agg(F.min(F.struct("ts", "seq", "decision", "new_end")).alias("d")).select("item_id", "d.decision", "d.new_end")
+    first = usable(log).groupBy("item_id").agg(F.min(F.struct("ts", "seq", "decision", "new_end")).alias("d")).select("item_id", "d.decision", "d.new_end")
     rows = edges.join(first, "item_id", "left").filter(F.coalesce("decision", F.lit("")) != "REJECT")
     d = F.col("decision")
     source = F.when(d == "REVERSE", F.col("target")).when(d == "CHANGE_SOURCE", F.col("new_end")).otherwise(F.col("source"))
@@ -82,3 +89,24 @@ def apply(activities: DataFrame, dependencies: DataFrame, id_log: DataFrame, edg
         merged.filter("is_conflict").select("network_id", F.lit("duplicate_edge").alias("code"), F.concat_ws("->", "source", "target").alias("element"))
     )
     return acts.drop("raw_id"), merged.select("network_id", "source", "target"), issues
+
+
+def scheduled(activities: DataFrame, dependencies: DataFrame, id_log: DataFrame, edge_log: DataFrame, fold_limit: int = schedule.FOLD_LIMIT) -> DataFrame:
+    """schedule.summary() of the networks that after review have no issue of apply() and none of validate.graph_issues().
+
+    Logs as in apply(), each row with its network_id: networks of at most fold_limit vertices are reviewed, checked and scheduled within
+    their row, larger ones by joins."""
+    tables = activities, dependencies, effective(id_log), usable(edge_log)
+    large = activities.groupBy("network_id").count().filter(F.col("count") > fold_limit).select("network_id")
+    if large.isEmpty():
+        return batches.reviewed_totals(*tables, schedule.TOLERANCE)
+    large = cut(large)
+    small, rest = ([t.join(large, "network_id", how) for t in tables] for how in ("left_anti", "left_semi"))
+    return batches.reviewed_totals(*small, schedule.TOLERANCE).unionByName(joined_schedules(*rest))
+
+
+def joined_schedules(activities: DataFrame, dependencies: DataFrame, id_log: DataFrame, edge_log: DataFrame) -> DataFrame:
+    """The same by joins, for networks of any size."""
+    acts, deps, issues = map(cut, apply(activities, dependencies, id_log, edge_log))
+    valid = validate.graph_status(acts, deps).filter("status = 'VALID'").join(issues, "network_id", "left_anti").select("network_id")
+    return schedule.summary(schedule.schedule(acts.join(valid, "network_id", "left_semi"), deps.join(valid, "network_id", "left_semi")))

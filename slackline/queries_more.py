@@ -249,17 +249,22 @@ mapped AS (SELECT e.network_id, a.activity_id AS source, b.activity_id AS target
 final AS (SELECT DISTINCT * FROM mapped)"""
 
 
-def applied(spark, d):
+def to_review(spark, d):
+    """Networks and the log of their reviews."""
     acts, deps = nets(spark, d)
     k, s = F.col("network_id"), F.col("seq")
     item = F.concat_ws(":", k.cast("string"), "activity_id")
     what = F.when((k % 9 == 0) & (s == 3), "REJECT").when((k % 9).isin(1, 2) & (s == 2), "CORRECT")
     now = F.lit("2024-01-01").cast("timestamp")
-    id_log = acts.select(s.cast("long").alias("seq"), item.alias("item_id"), what.alias("decision"), now.alias("ts"), F.when(k % 9 == 1, "Z02").otherwise("N01").alias("corrected_value")).filter("decision is not null")
+    id_log = acts.select("network_id", s.cast("long").alias("seq"), item.alias("item_id"), what.alias("decision"), now.alias("ts"), F.when(k % 9 == 1, "Z02").otherwise("N01").alias("corrected_value")).filter("decision is not null")
     edge = F.concat(k.cast("string"), F.lit(":"), "source", F.lit(">"), "target")
     how = F.when((k % 7 == 0) & (F.col("source") == "N01"), "REJECT").when(k % 7 == 1, "REVERSE")
-    edge_log = deps.select(F.lit(1).cast("long").alias("seq"), edge.alias("item_id"), how.alias("decision"), now.alias("ts"), F.lit(None).cast("string").alias("new_end")).filter("decision is not null")
-    return review.apply(acts, deps, id_log, edge_log)
+    edge_log = deps.select("network_id", F.lit(1).cast("long").alias("seq"), edge.alias("item_id"), how.alias("decision"), now.alias("ts"), F.lit(None).cast("string").alias("new_end")).filter("decision is not null")
+    return acts, deps, id_log, edge_log
+
+
+def applied(spark, d):
+    return review.apply(*to_review(spark, d))
 
 
 @query("hr06_applied_activities", f"{APPLIED} SELECT network_id, activity_id, seq, duration FROM acts")
@@ -280,9 +285,7 @@ def applied_issues(spark, d):
 @query("hr08_review_to_schedule")
 def review_to_schedule(spark, d):
     """Reviewed networks that pass every check, scheduled. A composition of operators whose parts have their own SQL."""
-    acts, deps, issues = map(cut, applied(spark, d))
-    valid = validate.graph_status(acts, deps).filter("status = 'VALID'").join(issues, "network_id", "left_anti").select("network_id")
-    return schedule.summary(schedule.schedule(acts.join(valid, "network_id", "left_semi"), deps.join(valid, "network_id", "left_semi")))
+    return review.scheduled(*to_review(spark, d))
 
 
 @query("jn17_estimate_overlay", f"WITH {ACTIVITIES} SELECT network_id, activity_id, CASE WHEN network_id % 2 = 0 THEN CASE WHEN seq % 3 = 0 THEN duration END ELSE optimistic_time END AS optimistic_time FROM activities")

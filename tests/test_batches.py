@@ -54,3 +54,27 @@ def test_missing_durations_offer_nothing(spark):
     assert len(rows) == 4
     assert [(rows[1, v].early_start, rows[1, v].early_finish, rows[1, v].late_start, rows[1, v].is_critical) for v in "ABC"] == [(0, 3, 0, True), (3, None, None, None), (3, 5, 3, True)]
     assert rows[2, "A"].early_finish is None and rows[2, "A"].project_duration == 0
+
+
+def test_reviewed_schedules_agree_with_joins(spark):
+    """Random decisions of all kinds, several an item, some of them unusable; at least a fifth of the networks stays sound."""
+    from slackline.operators import review
+
+    rng = random.Random(11)
+    acts, deps, ids, ends = [], [], [], []
+    for n in range(400):
+        size = rng.randrange(1, 6)
+        acts += [(n, f"v{k}" if rng.random() < 0.99 else rng.choice(["", None, "v0"]), k, rng.choice([1.0, 2.0, 3.5] * 9 + [0.0, None])) for k in range(size)]
+        edges = [(f"v{a}", f"v{b}") for a in range(size) for b in range(a + 1, size) if b == a + 1 or rng.random() < 0.3]
+        deps += [(n, *e) for e in edges] + [(n, "v0", "zz")] * (n % 9 == 0) + [(n, *e) for e in edges[: n % 13 == 0]]
+        for k in range(size):
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):
+                ids.append((n, rng.randrange(3), f"{n}:v{k}", rng.choice(["ACCEPT", "REJECT", "CORRECT", "CORRECT", "COMMENT"]), rng.choice([None, "v0", f"w{k}", f"w{k}"])))
+        for s, t in edges:
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                ends.append((n, rng.randrange(3), f"{n}:{s}>{t}", rng.choice(["ACCEPT", "REJECT", "REVERSE", "CHANGE_SOURCE", "CHANGE_TARGET", "?"]), rng.choice([None, "v0", "v1", "v3"])))
+    acts = spark.createDataFrame(acts, "network_id int, activity_id string, seq int, duration double")
+    deps = spark.createDataFrame(deps, "network_id int, source string, target string")
+    logs = [spark.createDataFrame(log, f"network_id int, seq long, item_id string, decision string, {value} string").selectExpr("*", "timestamp'2024-01-01' as ts") for log, value in ((ids, "corrected_value"), (ends, "new_end"))]
+    want, got = (sorted(map(tuple, review.scheduled(acts, deps, *logs, fold_limit=k).collect())) for k in (0, 256))
+    assert got == want and 80 < len(got) < 400
